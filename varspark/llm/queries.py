@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .lm_score import op2_lm_score
 from .mixing import OP9_SQL, op9_mixing
@@ -11,6 +12,6 @@ from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op4_quality_rules, op5_warc, op6_near_dedup, op7_line_dedup, op8_suffix_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op4_quality_rules, op5_warc, op6_near_dedup, op7_line_dedup, op8_suffix_dedup, op9_mixing, op10_decontaminate)}
 
 ORACLE = {"op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
