@@ -3,16 +3,17 @@
 A window is ``window`` consecutive words of one document. Each word covered by a window whose word
 sequence also starts in a document with a smaller doc_id is removed.
 
-1. Every split hashes its windows into the two rows of a count-min sketch and sends the cells it
-   touched (sorted, distinct, as byte gaps; cells it touched twice apart) to the sketch's shards.
-   A shard adds the partition sketches up and answers each split with those of its cells that
-   were touched at least twice. The sketch overestimates, so no repeated window is lost.
-2. Every split looks its windows up in the answers. Only windows with both cells repeated are
-   grouped exactly by 96 bits of hash: each split sends a key once with its smallest doc_id, a
-   shard takes the minimum over splits and answers the splits that have later documents.
+1. Every split hashes its windows into a row of a count-min sketch and sends the cells it touched
+   (sorted, distinct, as coded gaps; cells it touched twice apart) to the sketch's shards. A shard
+   adds the partition sketches up and answers each split with those of its cells that were touched
+   at least twice. The second row is asked for only those windows that the first row lets pass. The
+   sketch overestimates, so no repeated window is lost.
+2. Only windows with repeated cells in both rows are grouped exactly by 96 bits of hash: each split
+   sends a key once with its smallest doc_id, a shard takes the minimum over splits and answers the
+   splits that have later documents.
 3. Every split marks the words under windows whose key has an earlier document.
 
-Documents are read three times; no text is shuffled and nothing passes through the driver. A window
+Documents are read four times; no text is shuffled and nothing passes through the driver. A window
 that a third of all documents hold is one key per split.
 """
 
@@ -33,7 +34,8 @@ from . import common as c
 FLUSH = 1 << 22  # windows that a task gathers before it sends their partial sketch
 CELLS_PER_WORD = 4  # sketch width for each word expected
 MAX_SHARDS = 1 << 16
-ASK = "row int, shard int, _split string, once binary, twice binary"
+ROWS = 2
+ASK = "shard int, _split string, once binary, twice binary"
 KEYS = np.dtype([("h", "<u8"), ("g", "<u4")])
 
 
@@ -45,70 +47,75 @@ def _hashes(batch: pa.RecordBatch, window: int):
     return first, where, row, both
 
 
-def _cells(h: np.ndarray, log_width: int) -> np.ndarray:
-    return (h >> np.uint64(64 - log_width)).astype(np.int64)
+def _cells(h: np.ndarray, width: tuple[int, int]) -> np.ndarray:
+    """Cells of a sketch row with width (shards, cells of a shard)."""
+    shard = (h >> np.uint64(32)) * np.uint64(width[0]) >> np.uint64(32)
+    return (shard * np.uint64(width[1]) + ((h & np.uint64(0xFFFFFFFF)) * np.uint64(width[1]) >> np.uint64(32))).astype(np.int64)
 
 
-def _send_cells(window: int, log_width: int, log_shard: int):
-    def send(split: str, gathered: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for row in (0, 1):
-            cell, count = np.unique(_cells(np.concatenate([g[row] for g in gathered]), log_width), return_counts=True)
-            shard = cell >> log_shard
-            cut = np.flatnonzero(np.diff(shard, prepend=-1))
-            once, twice = [], []
-            for a, b in zip(cut, [*cut[1:], len(cell)], strict=True):
-                own = cell[a:b] - (shard[a] << log_shard)
-                once.append(c.gaps(own))
-                twice.append(c.gaps(own[count[a:b] > 1]))
-            n = len(cut)
-            yield c.table(row=pa.array([row] * n, pa.int32()), shard=pa.array(shard[cut], pa.int32()), _split=[split] * n, once=pa.array(once, pa.binary()), twice=pa.array(twice, pa.binary()))
+def _send_cells(window: int, width: tuple[int, int], told: list[str]):
+    """Cells of the next row, for the windows that the rows before (whose answers are at told) let pass."""
+    row = len(told)
+
+    def send(split: str, gathered: list[np.ndarray]) -> pa.RecordBatch:
+        cell, count = np.unique(_cells(np.concatenate(gathered), width), return_counts=True)
+        shard = cell // width[1]
+        cut = np.flatnonzero(np.diff(shard, prepend=-1))
+        once, twice = [], []
+        for a, b in zip(cut, [*cut[1:], len(cell)], strict=True):
+            own = cell[a:b] - shard[a] * width[1]
+            once.append(c.gaps(own))
+            twice.append(c.gaps(own[count[a:b] > 1]))
+        return c.table(shard=pa.array(shard[cut], pa.int32()), _split=[split] * len(cut), once=pa.array(once, pa.binary()), twice=pa.array(twice, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, last = [], 0, None
+        held, n, last, repeated = [], 0, None, None
         for split, batch in c.by_split(batches):
             if n and (split != last or n > FLUSH):
-                yield from send(last, held)
+                yield send(last, held)
                 held, n = [], 0
-            last = split
+            if split != last:
+                last, repeated = split, _Repeated(told, split, width)
             both = _hashes(batch, window)[3]
-            if len(both[0]):
-                held.append(both)
-                n += len(both[0])
+            own = both[row][repeated.mask(both)]
+            if len(own):
+                held.append(own)
+                n += len(own)
         if n:
-            yield from send(last, held)
+            yield send(last, held)
 
     return run
 
 
-def _merge_cells(log_shard: int):
+def _merge_cells(width: tuple[int, int]):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        touched = np.zeros(1 << log_shard, np.uint8)
+        touched = np.zeros(width[1], np.uint8)
         for once, twice in zip(pdf["once"], pdf["twice"], strict=True):
             own = c.ungaps(once)
             touched[own] = np.minimum(touched[own] + 1, 2)
             touched[c.ungaps(twice)] = 2
         answers = [c.gaps(own[touched[own] > 1]) for own in map(c.ungaps, pdf["once"])]
-        out = pd.DataFrame({"_split": pdf["_split"], "row": key[0], "shard": key[1], "cells": answers})
+        out = pd.DataFrame({"_split": pdf["_split"], "shard": key[0], "cells": answers})
         return out[out["cells"].str.len() > 0]
 
     return run
 
 
 class _Repeated:
-    """The cells of one split that are estimated repeated."""
-
-    def __init__(self, path: str, split: str, log_shard: int):
-        answer = c.delivered(path, split, ["row", "shard", "cells"])
-        found: list[list[np.ndarray]] = [[], []]
-        if answer is not None:
-            for row, shard, cells in zip(*(answer.column(x).to_pylist() for x in ("row", "shard", "cells")), strict=True):
-                found[row].append(c.ungaps(cells) + (shard << log_shard))
-        self.cells = [np.unique(np.concatenate(x)) if x else np.empty(0, np.int64) for x in found]
-
-    def mask(self, both: list[np.ndarray], log_width: int) -> np.ndarray:
-        held = _member(self.cells[0], _cells(both[0], log_width))
-        some = np.flatnonzero(held)
-        held[some] = _member(self.cells[1], _cells(both[1][some], log_width))
+    """The cells of one split that are estimated repeated, in each row of the sketch so far."""
+
+    def __init__(self, told: list[str], split: str, width: tuple[int, int]):
+        self.width, self.cells = width, []
+        for path in told:
+            answer = c.delivered(path, split, ["shard", "cells"])
+            found = [] if answer is None else [c.ungaps(x) + shard * width[1] for shard, x in zip(*(answer.column(k).to_pylist() for k in ("shard", "cells")), strict=True)]
+            self.cells.append(np.unique(np.concatenate(found)) if found else np.empty(0, np.int64))
+
+    def mask(self, both: list[np.ndarray]) -> np.ndarray:
+        held = np.ones(len(both[0]), bool)
+        for have, h in zip(self.cells, both, strict=False):
+            some = np.flatnonzero(held)
+            held[some] = _member(have, _cells(h[some], self.width))
         return held
 
 
@@ -131,7 +138,7 @@ def _first_ids(h: np.ndarray, g: np.ndarray, doc: np.ndarray):
     return h[at], g[at], doc[at], doc[last] > doc[at]
 
 
-def _send_keys(window: int, log_width: int, log_shard: int, path: str, shards: int):
+def _send_keys(window: int, width: tuple[int, int], told: list[str], shards: int):
     def send(split: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, g, doc, more = _first_ids(*(np.concatenate(x) for x in zip(*held, strict=True)))
         shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
@@ -147,9 +154,9 @@ def _send_keys(window: int, log_width: int, log_shard: int, path: str, shards: i
                 yield from send(last, held)
                 held, n = [], 0
             if split != last:
-                last, repeated = split, _Repeated(path, split, log_shard)
+                last, repeated = split, _Repeated(told, split, width)
             _, _, row, both = _hashes(batch, window)
-            some = np.flatnonzero(repeated.mask(both, log_width))
+            some = np.flatnonzero(repeated.mask(both))
             if len(some):
                 held.append((both[0][some], (both[1][some] >> np.uint64(32)).astype(np.uint32), c.ids(batch)[row[some]]))
                 n += len(some)
@@ -236,15 +243,17 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -
     """
     docs = c.with_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log_width = min(46, max(16, int(size * CELLS_PER_WORD / 6).bit_length()))
-    log_shard = max(min(22, log_width), log_width - MAX_SHARDS.bit_length() + 1)
+    cells = max(1 << 12, size * CELLS_PER_WORD // 6)
+    width = (w := max(1, min(MAX_SHARDS, cells >> 22)), -(-cells // w))
     shards = max(1, min(MAX_SHARDS, size >> 22))
 
-    asked = docs.mapInArrow(_send_cells(window, log_width, log_shard), ASK)
-    cells = c.deliver(asked.groupBy("row", "shard").applyInPandas(_merge_cells(log_shard), "_split string, row int, shard int, cells binary"), "op1-cells")
-    keys = docs.mapInArrow(_send_keys(window, log_width, log_shard, cells, shards), "shard int, _split string, h binary, g binary, doc binary, more binary")
+    told: list[str] = []
+    for _ in range(ROWS):
+        asked = docs.mapInArrow(_send_cells(window, width, list(told)), ASK)
+        told.append(c.deliver(asked.groupBy("shard").applyInPandas(_merge_cells(width), "_split string, shard int, cells binary"), "op1-cells"))
+    keys = docs.mapInArrow(_send_keys(window, width, told, shards), "shard int, _split string, h binary, g binary, doc binary, more binary")
     found = c.deliver(keys.groupBy("shard").applyInPandas(_merge_keys, "_split string, h binary, g binary, doc binary"), "op1-keys")
-    c.drop_path(docs.sparkSession, cells)
+    c.drop_path(docs.sparkSession, *told)
     kept = "kept string" if with_text else "kept_sha256 string"
     return docs.mapInArrow(_apply(window, found, with_text), f"doc_id long, n_words long, n_removed long, {kept}")
 
