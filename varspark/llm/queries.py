@@ -10,8 +10,9 @@ from .near_dedup import op6_near_dedup
 from .quality_rules import op4_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
+from .toxicity import op3_toxicity
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op4_quality_rules, op5_warc, op6_near_dedup, op7_line_dedup, op8_suffix_dedup, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_toxicity, op4_quality_rules, op5_warc, op6_near_dedup, op7_line_dedup, op8_suffix_dedup, op9_mixing, op10_decontaminate)}
 
 ORACLE = {"op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
