@@ -1,0 +1,225 @@
+"""Haplotype statistics: linkage, sweeps, extended homozygosity, runs of homozygosity."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import ehh as e
+from ..functions import kernels as k
+from ..plans.cohort import SITE, Cohort
+from .select import covering_windows, in_region
+
+# Lengths of the human chromosomes (GRCh38), for the share of the genome in runs.
+HG38 = {
+    "chr1": 248956422, "chr2": 242193529, "chr3": 198295559, "chr4": 190214555, "chr5": 181538259, "chr6": 170805979, "chr7": 159345973, "chr8": 145138636,
+    "chr9": 138394717, "chr10": 133797422, "chr11": 135086622, "chr12": 133275309, "chr13": 114364328, "chr14": 107043718, "chr15": 101991189, "chr16": 90338345,
+    "chr17": 83257441, "chr18": 80373285, "chr19": 58617616, "chr20": 64444167, "chr21": 46709983, "chr22": 50818468, "chrX": 156040895, "chrY": 57227415,
+}
+
+
+def site_haplotypes(cohort: Cohort, pop: str, chr: str | None = None, start: int | None = None, end: int | None = None, variant_type: str | None = "SNP", samples: list | None = None) -> DataFrame:
+    """Sites with ac, an, af, alleles (0/1, two for each sample in order) and dosage (0 to 2 for each sample).
+
+    A genotype that is absent is homozygous reference. variant_type None takes all.
+    """
+    own = cohort.sample.where(F.col("pop") == pop) if samples is None else cohort.sample.where(F.col("sample").isin(list(samples)))
+    own = own.select("sample", (F.row_number().over(Window.orderBy("sample")) - 1).alias("i"))  # as many rows as samples
+    n = own.count()
+    sites = in_region(cohort.variant, chr, start, end)
+    if variant_type is not None:
+        sites = sites.where(F.col("variant_type") == variant_type)
+    gt = cohort.genotype.join(sites.select("v"), "v", "left_semi").join(F.broadcast(own), "sample")
+    i2 = 2 * F.col("i")
+    hits = F.when(F.col("gt") == 2, F.array(i2, i2 + 1)).otherwise(F.array(i2 + F.col("phase")))
+    seen = gt.groupBy("v").agg(F.flatten(F.collect_list(hits)).alias("hits"), F.map_from_entries(F.collect_list(F.struct("i", "gt"))).alias("by_sample"), F.sum("gt").cast("int").alias("ac"))
+    index = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
+    hits = F.coalesce("hits", F.expr("cast(array() as array<int>)"))
+    return sites.join(seen, "v", "left").select(
+        *SITE, F.coalesce("ac", F.lit(0)).alias("ac"), F.lit(2 * n).alias("an"), (F.coalesce("ac", F.lit(0)) / (2 * n)).alias("af"),
+        F.transform(index(2 * n), lambda h: F.array_contains(hits, h).cast("tinyint")).alias("alleles"),
+        F.transform(index(n), lambda h: F.coalesce(F.try_element_at("by_sample", h), F.lit(0))).alias("dosage"),
+    )
+
+
+def polymorphic(sites: DataFrame, min_af: float = 0.0) -> DataFrame:
+    return sites.where((F.col("ac") > 0) & (F.col("ac") < F.col("an")) & F.col("af").between(min_af, 1 - min_af))
+
+
+def ld(cohort: Cohort, chr: str | None, start: int | None, end: int | None, pop: str, max_dist: int = 500_000, r2_threshold: float = 0.2, min_af: float = 0.0, variant_type: str | None = None, samples: list | None = None) -> DataFrame:
+    """variant1, variant2, r2 (of dosages), dprime (of haplotypes), distance of the pairs at most max_dist apart with r2 of the threshold or more.
+
+    The distance band is an equi-join: a site meets those of its own and the next bucket of max_dist bases.
+    """
+    sites = polymorphic(site_haplotypes(cohort, pop, chr, start, end, variant_type, samples), min_af)
+    sites = sites.select("chr", "pos", "variant_id", "dosage", F.array_compact(F.transform("alleles", lambda a, i: F.when(a == 1, i))).alias("on"), F.floor(F.col("pos") / max_dist).alias("b"), F.size("alleles").alias("n"))
+    left = sites.select("chr", "n", F.col("b"), *(F.col(c).alias(f"{c}1") for c in ("pos", "variant_id", "dosage", "on")))
+    right = sites.select("chr", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("b"), *(F.col(c).alias(f"{c}2") for c in ("pos", "variant_id", "dosage", "on")))
+    near = left.join(right, ["chr", "b"]).where((F.struct("pos2", "variant_id2") > F.struct("pos1", "variant_id1")) & (F.col("pos2") - F.col("pos1") <= max_dist))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    x, y = F.col("dosage1"), F.col("dosage2")
+    sums = near.withColumns({"sx": total(x), "sy": total(y), "sxx": k.dot(x, x), "syy": k.dot(y, y), "sxy": k.dot(x, y), "m": F.size(x).cast("double"), "n11": F.size(F.array_intersect("on1", "on2")).cast("double")})
+    r2 = k.r_squared(*(F.col(c) for c in ("m", "sx", "sy", "sxx", "syy", "sxy")))
+    dprime = k.d_prime(F.col("n").cast("double"), F.size("on1").cast("double"), F.size("on2").cast("double"), F.col("n11"))
+    out = sums.select(F.col("variant_id1").alias("variant1"), F.col("variant_id2").alias("variant2"), r2.alias("r2"), dprime.alias("dprime"), (F.col("pos2") - F.col("pos1")).alias("distance"))
+    return out.where(F.col("r2") >= r2_threshold)
+
+
+def garud_h(cohort: Cohort, pop: str, window: int = 100_000, step: int = 50_000, chr: str | None = None, start: int | None = None, end: int | None = None, variant_type: str | None = "SNP", samples: list | None = None) -> DataFrame:
+    """Haplotype homozygosity in sliding windows; a group is one window of one chromosome."""
+    sites = site_haplotypes(cohort, pop, chr, start, end, variant_type, samples).select("chr", "pos", "alleles")
+    first = sites.groupBy("chr").agg(F.min("pos").alias("first"))
+    spread = sites.join(F.broadcast(first), "chr").withColumn("k", F.explode(covering_windows(F.col("pos"), F.col("first"), window, step))).withColumn("start", F.col("first") + F.col("k") * step)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, key[1] + window - 1, pop, *e.garud(np.stack(pdf["alleles"].to_numpy())), len(pdf))])
+
+    return spread.select("chr", "start", "alleles").groupBy("chr", "start").applyInPandas(run, "chr string, start long, end long, population string, h1 double, h12 double, h2_h1 double, hap_diversity double, n_haplotypes long, n_variants long")
+
+
+# ---------------------------------------------------------------- standardisation
+
+
+def standardise(scores: DataFrame, column: str, out: str, by_af_bins: int | None = None) -> DataFrame:
+    """Z scores within allele frequency bins, or over all rows: population mean, sample deviation (1 for a single row)."""
+    bins = F.least((F.col("af") * by_af_bins).cast("int"), F.lit(by_af_bins - 1)) if by_af_bins else F.lit(0)
+    scores = scores.withColumn("_bin", bins)
+    facts = scores.groupBy("_bin").agg(F.avg(column).alias("_mean"), F.coalesce(F.stddev_samp(column), F.lit(1.0)).alias("_sd"))  # a few rows
+    z = F.when(F.col("_sd") == 0, 0.0).otherwise((F.col(column) - F.col("_mean")) / F.nullif("_sd", F.lit(0.0)))
+    return scores.join(F.broadcast(facts), "_bin").withColumn(out, z).drop("_bin", "_mean", "_sd")
+
+
+# ---------------------------------------------------------------- shared suffixes
+
+
+def nsl(cohort: Cohort, pop: str, chr: str | None = None, min_af: float = 0.05, n_af_bins: int = 20, pair_block: int = 64, variant_type: str | None = "SNP", samples: list | None = None) -> DataFrame:
+    """variant_id, chr, pos, af, nsl_unstd, nsl. Pairs of haplotypes are dealt to blocks; their sums are added up per site."""
+    sites = polymorphic(site_haplotypes(cohort, pop, chr, variant_type=variant_type, samples=samples), min_af).select("chr", "pos", "variant_id", "af", "alleles")
+    blocks = sites.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("alleles") - 2) / pair_block).cast("int"))))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "variant_id"], kind="stable")
+        hap = np.stack(pdf["alleles"].to_numpy()).astype(np.int8)
+        i, j = np.triu_indices(hap.shape[1], 1)
+        own = (i // pair_block) == key[1]
+        i, j = i[own], j[own]
+        total = np.zeros((4, len(hap)))
+        width = max(1, (1 << 22) // max(1, len(hap)))  # pairs at once
+        for a in range(0, len(i), width):
+            total += np.stack(e.run_lengths(hap, i[a : a + width], j[a : a + width]))
+        out = pdf[["chr", "pos", "variant_id", "af"]].copy()
+        for name, x in zip(("s0", "c0", "s1", "c1"), total, strict=True):
+            out[name] = x
+        return out
+
+    parts = blocks.groupBy("chr", "block").applyInPandas(run, "chr string, pos long, variant_id string, af double, s0 double, c0 double, s1 double, c1 double")
+    total = parts.groupBy("chr", "pos", "variant_id", "af").agg(*(F.sum(c).alias(c) for c in ("s0", "c0", "s1", "c1")))
+    ratio = total.where("s0 > 0 AND s1 > 0").select("variant_id", "chr", "pos", "af", F.log((F.col("s1") / F.col("c1")) / (F.col("s0") / F.col("c0"))).alias("nsl_unstd"))
+    return standardise(ratio, "nsl_unstd", "nsl", n_af_bins)
+
+
+# ---------------------------------------------------------------- extended homozygosity
+
+
+def _chunks(sites: DataFrame, chunk: int, margin: int) -> DataFrame:
+    """Each site in the chunks whose core or margin holds it."""
+    return sites.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("pos") - margin) / chunk), F.floor((F.col("pos") + margin) / chunk))))
+
+
+def ihs(cohort: Cohort, pop: str, chr: str | None = None, min_af: float = 0.05, n_af_bins: int = 20, min_ehh: float = e.MIN_EHH, max_gap: int = e.MAX_GAP, gap_scale: int = e.GAP_SCALE, chunk_size: int = 5_000_000, ehh_margin: int = 2_000_000, variant_type: str | None = "SNP", samples: list | None = None) -> DataFrame:
+    """variant_id, chr, pos, af, ihs_unstd, ihs. A group is a chunk of a chromosome with its margins."""
+    sites = polymorphic(site_haplotypes(cohort, pop, chr, variant_type=variant_type, samples=samples)).select("chr", "pos", "variant_id", "af", "alleles")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "variant_id"], kind="stable")
+        hap, pos, af = np.stack(pdf["alleles"].to_numpy()).astype(np.int64), pdf["pos"].to_numpy(), pdf["af"].to_numpy()
+        out = []
+        for i in np.flatnonzero((pos // chunk_size == key[1]) & (af >= min_af) & (af <= 1 - min_af)):
+            alt, ref = np.flatnonzero(hap[i] == 1), np.flatnonzero(hap[i] == 0)
+            if min(len(alt), len(ref)) < 2:
+                continue
+            a, b = (e.integrated(hap, pos, i, x, min_ehh, max_gap, gap_scale) for x in (ref, alt))
+            if a > 0 and b > 0:
+                out.append((pdf["variant_id"].iloc[i], key[0], int(pos[i]), float(af[i]), float(np.log(a / b))))
+        return pd.DataFrame(out, columns=["variant_id", "chr", "pos", "af", "ihs_unstd"])
+
+    scores = _chunks(sites, chunk_size, ehh_margin).groupBy("chr", "chunk").applyInPandas(run, "variant_id string, chr string, pos long, af double, ihs_unstd double")
+    return standardise(scores, "ihs_unstd", "ihs", n_af_bins)
+
+
+def xpehh(cohort: Cohort, pop1: str, pop2: str, chr: str | None = None, min_af: float = 0.0, min_ehh: float = e.MIN_EHH, max_gap: int = e.MAX_GAP, gap_scale: int = e.GAP_SCALE, chunk_size: int = 5_000_000, ehh_margin: int = 2_000_000, variant_type: str | None = "SNP") -> DataFrame:
+    """variant_id, chr, pos, af_pop1, af_pop2, xpehh_unstd, xpehh, over the sites that vary in both populations."""
+    one = polymorphic(site_haplotypes(cohort, pop1, chr, variant_type=variant_type)).select("v", "chr", "pos", "variant_id", F.col("af").alias("af1"), F.col("alleles").alias("one"))
+    two = polymorphic(site_haplotypes(cohort, pop2, chr, variant_type=variant_type)).select("v", F.col("af").alias("af2"), F.col("alleles").alias("two"))
+    sites = one.join(two, "v").drop("v")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "variant_id"], kind="stable")
+        pos, af = pdf["pos"].to_numpy(), pdf["af1"].to_numpy()
+        haps = [np.stack(pdf[c].to_numpy()).astype(np.int64) for c in ("one", "two")]
+        out = []
+        for i in np.flatnonzero((pos // chunk_size == key[1]) & (af >= min_af) & (af <= 1 - min_af)):
+            a, b = (e.integrated(h, pos, i, np.arange(h.shape[1]), min_ehh, max_gap, gap_scale) for h in haps)
+            if a > 0 and b > 0:
+                out.append((pdf["variant_id"].iloc[i], key[0], int(pos[i]), float(af[i]), float(pdf["af2"].iloc[i]), float(np.log(a / b))))
+        return pd.DataFrame(out, columns=["variant_id", "chr", "pos", "af_pop1", "af_pop2", "xpehh_unstd"])
+
+    scores = _chunks(sites, chunk_size, ehh_margin).groupBy("chr", "chunk").applyInPandas(run, "variant_id string, chr string, pos long, af_pop1 double, af_pop2 double, xpehh_unstd double")
+    return standardise(scores, "xpehh_unstd", "xpehh")
+
+
+# ---------------------------------------------------------------- runs of homozygosity
+
+
+def roh(cohort: Cohort, pop: str, chr: str, method: str = "hmm", min_length: int = 1_000_000, min_snps: int = 100, hw_to_az: float = 6.7e-8, az_to_hw: float = 5e-9, het_error_rate: float = 1e-3, hmm_min_af: float = 0.0,
+        window_snps: int = 50, max_het: int = 1, window_threshold: float = 0.05, max_gap: int = 1_000_000, density_kb: float = 50.0, variant_type: str | None = "SNP", sample_block: int = 64) -> DataFrame:
+    """sample, n_roh, total_length, froh, mean_length, max_length for every sample, methods "hmm" and "window".
+
+    A group is a block of samples of a chromosome; the share of the genome takes the chromosome's length where
+    it is known (HG38), else the span of the sites.
+    """
+    if method not in ("hmm", "window"):
+        raise ValueError("method is hmm or window")
+    own = cohort.sample.where(F.col("pop") == pop).orderBy("sample").select("sample").collect()  # as many rows as samples
+    names = [r.sample for r in own]
+    sites = site_haplotypes(cohort, pop, chr, variant_type=variant_type).select("pos", "variant_id", "af", "dosage")
+    blocks = sites.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((len(names) - 1) // sample_block))))
+    blocks = blocks.withColumn("dosage", F.slice("dosage", F.col("block") * sample_block + 1, F.lit(sample_block)))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "variant_id"], kind="stable")
+        pos, af, gt = pdf["pos"].to_numpy(), pdf["af"].to_numpy(), np.stack(pdf["dosage"].to_numpy())
+        length = HG38.get(chr) or max(1, int(pos[-1] - pos[0]))
+        out = []
+        if method == "hmm":
+            folded = np.minimum(af, 1 - af)
+            use = folded >= hmm_min_af if hmm_min_af > 0 else folded > 0
+            pos, af, gt = pos[use], af[use], gt[use]
+            state = e.viterbi(pos, af, gt, hw_to_az, az_to_hw, het_error_rate) if len(pos) else np.zeros(gt.shape, np.int8)
+        for s in range(gt.shape[1]):
+            spans = e.runs(state[:, s]) if method == "hmm" else _window_runs(pos, gt[:, s] == 1, window_snps, max_het, window_threshold, max_gap)
+            sizes = [int(pos[b] - pos[a]) for a, b in spans if pos[b] - pos[a] >= min_length and b - a + 1 >= min_snps and (method == "hmm" or density_kb <= 0 or (pos[b] - pos[a]) / 1000 / (b - a + 1) <= density_kb)]
+            out.append((names[key[0] * sample_block + s], len(sizes), sum(sizes), sum(sizes) / length, sum(sizes) / len(sizes) if sizes else 0.0, max(sizes, default=0)))
+        return pd.DataFrame(out, columns=["sample", "n_roh", "total_length", "froh", "mean_length", "max_length"])
+
+    return blocks.groupBy("block").applyInPandas(run, "sample int, n_roh long, total_length long, froh double, mean_length double, max_length long")
+
+
+def _window_runs(pos: np.ndarray, het: np.ndarray, size: int, max_het: int, threshold: float, max_gap: int) -> list[tuple[int, int]]:
+    """Runs of sites of which enough windows of size sites have at most max_het heterozygotes, cut at wide gaps."""
+    n = len(pos)
+    if n < size:
+        return []
+    total = np.concatenate(([0], np.cumsum(het)))
+    hit = np.concatenate(([0], np.cumsum(total[size:] - total[:-size] <= max_het)))
+    site = np.arange(n)
+    low, high = np.maximum(site - size + 1, 0), np.minimum(site, n - size) + 1
+    good = (hit[high] - hit[low]) / (high - low) >= threshold
+    out = []
+    for a, b in e.runs(good):
+        cut = [a, *(a + 1 + np.flatnonzero(np.diff(pos[a : b + 1]) > max_gap)).tolist()]
+        parts = list(zip(cut, [c - 1 for c in cut[1:]] + [b], strict=True))
+        out += [(x, y) for x, y in parts if y > x or y == b]
+    return out

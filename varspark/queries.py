@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_fast
+from . import queries_fast, queries_full
 
-QUERIES = {**queries_fast.QUERIES}
-ORACLE = {**queries_fast.ORACLE}
+QUERIES = {**queries_fast.QUERIES, **queries_full.QUERIES}
+ORACLE = {**queries_fast.ORACLE, **queries_full.ORACLE}
