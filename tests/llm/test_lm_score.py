@@ -50,7 +50,7 @@ def test_against_brute_force(spark):
 
 
 def test_edge_rows(spark):
-    rows = [(1, "A b a B c", False), (1, "A b a B c", False), (2, None, True), (3, "", False), (None, "a zz", True), (4, "  ", True)]
+    rows = [(1, "A b a B c", False), (1, "A b a B c", False), (2, None, True), (3, "", False), (None, "a zz", True), (4, "  ", True), (5, "go " * 700 + "on", False)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, out boolean, n_tokens string")
     assert got(lm_score(df, F.col("out"))) == brute(rows)
     assert got(lm_score(df.where("out"), F.col("out"))) == brute([r for r in rows if r[2]])

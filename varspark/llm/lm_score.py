@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-FLUSH = 1 << 22
+FLUSH = 1 << 20  # tokens that a task gathers before it sends their counts
 BEGIN, END = np.uint64(0x0123456789ABCD), np.uint64(0x0FEDCBA9876543)  # 56-bit codes of the borders of a text
-SHARD_BYTES = 1 << 23  # input bytes for each shard of the model
+SHARD_BYTES = 1 << 22  # input bytes for each shard of the model
 MAX_SHARDS = 1 << 16
-BIGRAM = {"h": "<u8", "n": "<u4"}
+BIGRAM = {"h": "<u8", "n": "<u1"}  # counts of MANY and more stand in a table of their own
+MANY = 255
+FREQUENT = {"h": "<u8", "n": "<u8"}
 WORD = {"h": "<u8", "n": "<u8", "total": "<u8", "before": "<u4", "one": "<u4", "two": "<u4", "more": "<u4"}
 
 
@@ -74,9 +76,11 @@ def _count(shards: int):
     def send(held: list[tuple]) -> pa.RecordBatch:
         v, w = (np.concatenate(x) for x in zip(*held, strict=True))
         h, at, n = _combine(bigram_hash(v, w), np.ones(len(v), np.uint32))
-        v, w, n, shard = v[at], w[at], n.astype(np.uint32), shard_of(h, shards)
+        shard, v, w = shard_of(h, shards), v[at], w[at]
+        order = np.lexsort((w, v, shard))  # frequent contexts come in runs, which compress
+        v, w, n, shard = v[order], w[order], n[order].astype(np.uint32), shard[order]
         cut = _cuts(shard)
-        payload = [c.planes(v[a:b]) + c.planes(w[a:b]) + c.planes(n[a:b]) for a, b in cut]
+        payload = [c.squeeze(c.planes(v[a:b]) + c.planes(w[a:b]) + c.planes(n[a:b])) for a, b in cut]
         return c.table(shard=pa.array(shard[[a for a, _ in cut]]), grams=pa.array(payload, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +116,7 @@ def _histogram(n: np.ndarray) -> list[int]:
 def _merge_bigrams(path: str, shards: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         v, w, n = [], [], []
-        for x in pdf["grams"]:
+        for x in map(c.unsqueeze, pdf["grams"]):
             k = len(x) // 20
             v.append(c.unplanes(x[: 8 * k], "<u8"))
             w.append(c.unplanes(x[8 * k : 16 * k], "<u8"))
@@ -120,7 +124,8 @@ def _merge_bigrams(path: str, shards: int):
         v, w, n = np.concatenate(v), np.concatenate(w), np.concatenate(n)
         h, at, n = _combine(bigram_hash(v, w), n)
         v, w = v[at], w[at]
-        _write(path, "bigram", key[0], {"h": h, "n": np.minimum(n, 0xFFFFFFFF).astype(np.uint32)})
+        _write(path, "bigram", key[0], {"h": h, "n": np.minimum(n, MANY).astype(np.uint8)})
+        _write(path, "frequent", key[0], {"h": h[n >= MANY], "n": n[n >= MANY]})
         gain = np.zeros((2 * len(h), 6), np.uint64)  # n, before, total, one, two, more
         gain[: len(h), 0], gain[: len(h), 1] = n, 1
         gain[len(h) :, 2] = n
@@ -129,19 +134,21 @@ def _merge_bigrams(path: str, shards: int):
         gain[len(h) :, 5] = n > 2
         word, _, *sums = _combine(np.concatenate([w, v]), *gain.T)
         shard = shard_of(word << np.uint64(8), shards)
-        rows = [(int(shard[a]), c.planes(word[a:b]) + b"".join(c.planes(s[a:b].astype(np.uint64)) for s in sums), [0] * 4) for a, b in _cuts(shard)]
-        return pd.DataFrame([*rows, (-1, b"", _histogram(n))], columns=["shard", "gains", "bigrams"])
+        rows = [(int(shard[a]), c.squeeze(c.planes(word[a:b]) + b"".join(c.planes(s[a:b].astype(np.uint64)) for s in sums)), [0] * 4) for a, b in _cuts(shard)]
+        return pd.DataFrame([*rows, (-1, b"", [*_histogram(n), len(n)])], columns=["shard", "gains", "bigrams"])
 
     return run
 
 
 def _merge_words(path: str):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.uint8).reshape(7, -1) for x in pdf["gains"]]
+        if key[0] < 0:  # sums over bigrams pass through
+            return pd.DataFrame({"tokens": [0], "types": [0], "words": [[0] * 4], "bigrams": [np.sum(np.stack(pdf["bigrams"].to_numpy()), axis=0).tolist()]})
+        parts = [np.frombuffer(c.unsqueeze(x), np.uint8).reshape(7, -1) for x in pdf["gains"]]
         cols = [np.concatenate([c.unplanes(p[i].tobytes(), "<u8") for p in parts]) for i in range(7)]
         h, _, n, before, total, one, two, more = _combine(*cols)
         _write(path, "word", key[0], {k: x.astype(WORD[k]) for k, x in zip(("h", "n", "before", "total", "one", "two", "more"), (h, n, before, total, one, two, more), strict=True)})
-        return pd.DataFrame({"tokens": [int(n.sum())], "types": [int(np.count_nonzero(n))], "words": [_histogram(before)]})
+        return pd.DataFrame({"tokens": [int(n.sum())], "types": [int(np.count_nonzero(n))], "words": [_histogram(before)], "bigrams": [[0] * 5]})
 
     return run
 
@@ -194,13 +201,17 @@ def _score(path: str, shards: int, facts: dict):
     rest = (d1[1] * ones + d1[2] * twos + d1[3] * mores) / pairs if facts["pairs"] else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bigrams, known_words = HashArrays(path, "bigram", BIGRAM, shards), HashArrays(path, "word", WORD, shards)
+        bigrams, frequent, known_words = (HashArrays(path, *x, shards) for x in (("bigram", BIGRAM), ("frequent", FREQUENT), ("word", WORD)))
         for _, batch in c.by_split(batches):
             v, w, n = _bigrams(batch)
             at = np.cumsum(n) - n
             own = known_words.find(np.concatenate([w, v]), 8)
             word, context = ({k: x[s] for k, x in own.items()} for s in (slice(len(w)), slice(len(w), None)))
-            count = bigrams.find(bigram_hash(v, w))["n"]
+            pair = bigram_hash(v, w)
+            count = bigrams.find(pair)["n"]
+            many = np.flatnonzero(count == MANY)
+            if len(many):
+                count[many] = frequent.find(pair[many])["n"]
             before, total = word["before"], context["total"]
             p1 = (before - d1[np.minimum(before, 3).astype(int)]) / pairs + rest / (types + 1)
             weight = np.where(total > 0, (d2[1] * context["one"] + d2[2] * context["two"] + d2[3] * context["more"]) / np.maximum(total, 1), 1.0)
@@ -229,28 +240,16 @@ def lm_score(docs: DataFrame, held_out) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, path = max(1, min(MAX_SHARDS, size // SHARD_BYTES)), c.scratch(spark, "op2-model")
     counted = docs.where("NOT held_out").mapInArrow(_count(shards), "shard int, grams binary")
-    gains = c.keep(counted.groupBy("shard").applyInPandas(_merge_bigrams(path, shards), "shard int, gains binary, bigrams array<long>"), "op2-gains")
-    facts = gains.where("shard >= 0").groupBy("shard").applyInPandas(_merge_words(path), "tokens long, types long, words array<long>")
-    sums = facts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "types")), *(F.coalesce(F.sum(F.col("words")[i]), F.lit(0)) for i in range(4))).first()
-    grams = gains.where("shard < 0").agg(*(F.coalesce(F.sum(F.col("bigrams")[i]), F.lit(0)) for i in range(4))).first()
-    tokens, types, *words = map(int, sums)
-    pairs = _pairs(spark, path, shards)
-    told = {"tokens": tokens, "types": types, "pairs": pairs, "words": [words[0], words[1], types - words[0] - words[1]], "word_discounts": discounts(words).tolist(), "bigram_discounts": discounts(list(map(int, grams))).tolist()}
+    gains = counted.groupBy("shard").applyInPandas(_merge_bigrams(path, shards), "shard int, gains binary, bigrams array<long>")
+    facts = gains.groupBy("shard").applyInPandas(_merge_words(path), "tokens long, types long, words array<long>, bigrams array<long>")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    sums = facts.agg(total("tokens"), total("types"), *(total(F.col("words")[i]) for i in range(4)), *(total(F.col("bigrams")[i]) for i in range(5))).first()
+    tokens, types, *words = map(int, sums[:6])
+    *grams, pairs = map(int, sums[6:])
+    told = {"tokens": tokens, "types": types, "pairs": pairs, "words": [words[0], words[1], types - words[0] - words[1]], "word_discounts": discounts(words).tolist(), "bigram_discounts": discounts(grams).tolist()}
     return docs.mapInArrow(_score(path, shards, told), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def _pairs(spark, path: str, shards: int) -> int:
-    """Number of distinct bigrams, from the sizes of the model's files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = c.filesystem(path)
-        for batch in batches:
-            infos = fs.get_file_info([f"{root}/bigram-h-{i}" for i in batch.column(0).to_pylist()])
-            yield c.table(n=pa.array([(x.size or 0) // 8 for x in infos], pa.int64()))
-
-    return spark.range(shards).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-
-
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return lm_score(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2)
