@@ -7,8 +7,9 @@
    bucket of g classes gives g - 1 pairs. A pair passes if the joint likelihood of its registers doesn't rule
    out the threshold; then the full sets are compared.
 3. Components are formed. Only buckets whose classes still lie in several components are gone through
-   again, now with every pair of classes from different components; large ones in blocks of classes,
-   compared by register arrays, so that only pairs that pass come out as rows.
+   again: small ones by all pairs of classes from different components; the components of large ones are
+   joined to clusters, whose classes are compared in blocks, by counts of common shingles over an inverted index, of
+   which only links that join components come out as rows.
 4. Components are formed again, and named by their smallest doc_id.
 
 With the production bands, a pair at the threshold misses all buckets with a probability below 1e-9.
@@ -32,7 +33,7 @@ M, BANDS, BAND = 252, 42, 6  # registers, bands, registers of a band
 BASE, SHIFT = 1.08, 30  # spacing of register values; value SHIFT + 1 is a minimum of 1
 DOUBT = 15.0  # log likelihood ratio that rules a pair out
 SMALL = 32  # classes of a bucket that are paired in the JVM when it is gone through again
-BLOCK = 512
+BLOCK = 256  # classes of a cluster that are compared with as many others at once
 LAST = 0x7FFFFFFFFFFFFFFF
 
 
@@ -200,14 +201,18 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """A text of each of the classes wanted, read from the split that has it."""
+    told = c.deliver(nodes.join(wanted, "node").select(F.col("split").alias("_split"), "key", "node"), "op6-wanted")
+    return c.keep(docs.mapInArrow(_fetch(told), "node binary, text string"), "op6-texts")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
     likely = c.keep(likely.mapInArrow(_likely(percent / 100), "a binary, b binary, n_a long, n_b long"), "op6-likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = c.deliver(nodes.join(wanted, "node").select(F.col("split").alias("_split"), "key", "node"), "op6-wanted")
-    texts = c.keep(docs.mapInArrow(_fetch(wanted), "node binary, text string"), "op6-texts")
+    texts = _texts(likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "node"), nodes, docs)
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "n_a", "n_b", "text_a", "text_b")
     out = c.keep(both.mapInArrow(_confirm(k, percent), "a binary, b binary"), "op6-links")
@@ -231,37 +236,61 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- buckets gone through again
 
 
-def _blocks(similarity: float):
+def _block_links(k: int, percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        """Links between the two blocks of a group (or inside its only one) that join components, a spanning set of them."""
+        pdf = pdf.sort_values("node", kind="stable")
+        h, g, row, n = shingles(pa.RecordBatch.from_pydict({"text": pa.array(pdf["text"], pa.string())}), k)
+        side, label, node = pdf["side"].to_numpy(), pdf["label"].to_numpy(), pdf["node"].to_numpy()
+        ahead = side[row] == side.max()  # the inverted index: sorted shingles of the second block
+        order = np.lexsort((g[ahead], h[ahead]))
+        key, other, owner = h[ahead][order], g[ahead][order], row[ahead][order]
+        top = {x: x for x in label}
+
+        def root(x):
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
         out = []
-        b, n_b, label_b, node_b = _registers(right["registers"]), right["n"].to_numpy(), right["label"].to_numpy(), right["node"].to_numpy()
-        for row in left.itertuples():
-            apart = np.flatnonzero((label_b != row.label) & (node_b > row.node))
-            if len(apart):
-                a = np.broadcast_to(np.frombuffer(row.registers, np.uint8), (len(apart), M))
-                good = apart[not_below(similarity, a, b[apart], np.full(len(apart), row.n), n_b[apart])]
-                out += [(row.node, x) for x in node_b[good]]
+        edge = np.searchsorted(row, np.arange(len(pdf) + 1))
+        for i in np.flatnonzero(side == side.min()):
+            own, own_g = h[edge[i] : edge[i + 1]], g[edge[i] : edge[i + 1]]
+            low, high = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+            m = high - low
+            pick = np.repeat(low - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+            shared = np.bincount(owner[pick[other[pick] == np.repeat(own_g, m)]], minlength=len(pdf))
+            for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (n + n[i] - shared))):
+                a, b = root(label[i]), root(label[j])
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
-def _cross_pairs(bands: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of classes that share a bucket and lie in different components."""
+def _links_again(bands: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between classes that share a bucket and lie in different components so far."""
     named = bands.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rows = c.keep(named.join(mixed.select("bucket", "size"), "bucket"), "op6-mixed")
+    mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "node").alias("hub")).where("low <> high")
+    rows = c.keep(named.join(mixed.select("bucket", "size", "hub"), "bucket"), "op6-mixed")
     few = rows.where(F.col("size") <= SMALL)
     left, right = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "bucket").where("a < b AND la <> lb").select("a", "b")
-    # large buckets: every pair of blocks is a group of its own, of 2 * BLOCK classes on average
-    many = rows.where(F.col("size") > SMALL).withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    many = many.join(nodes.select("node", "n", "registers"), "node")
-    ahead = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cols = ["node", "label", "n", "registers"]
-    sides = ahead.select("bucket", F.col("part").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *cols).union(ahead.select("bucket", F.col("other").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), *cols))
-    return pairs.union(sides.groupBy("bucket", "i", "j").applyInPandas(_blocks(similarity), "a binary, b binary"))
+    pairs = left.join(right, "bucket").where("a < b AND la <> lb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    links = _links(c.keep(pairs, "op6-pairs"), nodes, docs, k, percent)
+    # components that meet in a large bucket make a cluster; its members are the classes in such buckets
+    many = rows.where(F.col("size") > SMALL).select("node", "label", "hub").distinct()
+    meet = components(many.where("hub <> label").select(F.col("hub").alias("a"), F.col("label").alias("b")).distinct())
+    members = many.select("node", "label").distinct().join(meet.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
+    members = c.keep(members, "op6-members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    members = members.join(sizes, "cluster")
+    members = members.join(_texts(members.select("node"), nodes, docs), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "label", "text")
+    return links.union(spread.groupBy("cluster", "i", "j").applyInPandas(_block_links(k, percent), "a binary, b binary"))
 
 
 # ---------------------------------------------------------------- operator
@@ -285,9 +314,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "a")
     pairs = c.keep(bands.join(hubs, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "op6-pairs")
     links = _links(pairs, nodes, docs, k, percent)
-    again = _cross_pairs(bands, nodes, components(links), percent / 100).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _links(c.keep(again, "op6-pairs"), nodes, docs, k, percent)
-    labels = components(links.union(more))
+    labels = components(links)
+    labels = components(links.union(_links_again(bands, nodes, labels, pairs, docs, k, percent)))
     named = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of = c.keep(named.join(smallest, "label").select("node", "component_id"), "op6-components")
