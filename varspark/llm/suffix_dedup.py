@@ -32,10 +32,11 @@ from . import common as c
 from .lm_score import _cuts, shard_of
 
 GRAM = 64
-HOT = 4096
-SHARD_BYTES = 1 << 23
+HOT = 256  # an anchor found more often never has its spans gathered in one task
+SHARD_BYTES = 1 << 22
 MAX_SHARDS = 1 << 16
-SPANS = 1 << 23  # bytes of spans that a task gathers before it sends them
+SPANS = 1 << 22  # bytes of spans that a task gathers before it sends them
+PIECE = 1 << 19  # bytes of spans that are sorted at once (one anchor may have more)
 
 
 def _sliding(x: np.ndarray, w: int, op, neutral) -> np.ndarray:
@@ -89,7 +90,8 @@ class _Slice:
         self.prefix = c.prefix_hash(c.BYTE[0][self.data], 2)
         body = c.range_hash(self.prefix, self.at[:-1], self.at[1:], 2)
         self.key = c.mix(c.mix(body + c.ids(batch).astype(np.uint64) * c.ODD[6]) + np.diff(self.at).astype(np.uint64))
-        self.p, self.hash, self.lo, self.hi = anchors(self.data, self.at, self.prefix, length, gram)
+        self.p, least, self.lo, self.hi = anchors(self.data, self.at, self.prefix, length, gram)
+        self.hash = c.mix(least ^ c.ODD[5])  # minima are small numbers; mixed, they spread over all shards
         self.doc = np.searchsorted(self.at, self.p, "right") - 1
 
     def strings(self, some: np.ndarray, length: int):
@@ -232,7 +234,7 @@ def _send_hot(length: int, gram: int, shards: int, path: str):
     def run(batches):
         held, n, last, known = [], 0, None, None
         for split, batch in c.by_split(batches):
-            if held and (split != last or n > 1 << 22):
+            if held and (split != last or n > 1 << 20):
                 yield send(last, held)
                 held, n = [], 0
             if split != last:
@@ -397,7 +399,18 @@ def _merge_spans(length: int):
         span = (np.cumsum(size) - size)[order]
         h, key, lo, p, hi, size, of = (x[order] for x in (h, key, lo, p, hi, size, of))
         group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
-        found = _matches(Suffixes(data), group, span + p - lo, span, span + hi - lo, span + size, length)
+        # groups are independent: a few at a time bound the memory of prefix hashes
+        ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+        weight = np.cumsum(size)[ends - 1]
+        found, a = [], 0
+        while a < len(group):
+            done = weight[np.searchsorted(ends, a, "right") - 1] if a else 0
+            b = int(ends[max(np.searchsorted(weight, done + PIECE, "right") - 1, np.searchsorted(ends, a, "right"))])
+            n = size[a:b]
+            own = np.cumsum(n) - n
+            piece = data[np.repeat(span[a:b] - own, n) + np.arange(int(n.sum()))]
+            found += [(a + x, near, far) for x, near, far in _matches(Suffixes(piece), group[a:b], own + p[a:b] - lo[a:b], own, own + hi[a:b] - lo[a:b], own + n, length)]
+            a = b
         if not found:
             return pd.DataFrame({"_split": [], "key": [], "start": [], "stop": []})
         x, near, far = (np.array(v) for v in zip(*found, strict=True))
