@@ -5,7 +5,7 @@ Three ideas carry the operators of this subpackage:
 * **Shared folder.** Everything that one job hands to the next goes to the folder named by
   ``spark.checkpoint.dir`` (a store that the driver and all executors see), never to a
   machine-local folder. Lost executors can therefore be replaced at any time.
-* **Split routing.** A row carries the identity of the file split it was read from. Partial
+* **Split routing.** A row carries the identity of its split: a file and a run of rows in it. Partial
   results are dealt by a hash shard ("ask"), and what a shard finds out goes back only to the
   splits that asked ("answer"). Keys are combined inside a split first, so a key that a third of all
   documents hold arrives once per split, not once per document, and no text is shuffled.
@@ -89,34 +89,44 @@ def mapped(uri: str, dtype) -> np.ndarray:
 
 
 def with_split(docs: DataFrame) -> DataFrame:
-    """docs with ``_split``, the identity of the file split of each row.
+    """docs with ``_split``, the file of each row and the run of rows that it stands in.
 
+    It follows from the row's place in its file alone, so scans that are planned later, with other executors or
+    split sizes, agree on it. Runs have as many rows as a task of the present plan has on average.
     It is a routing key only: results never depend on how rows are dealt to splits. Where docs isn't
-    a plain scan, it is written to the shared folder first.
+    a plain scan of Parquet, it is written to the shared folder first.
     """
-    split = F.concat_ws("@", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"))
     try:
-        return docs.withColumn("_split", F.sha1(split))
+        docs.select("_metadata.row_index")
     except AnalysisException:
-        return keep(docs, "docs").withColumn("_split", F.sha1(split))
+        docs = keep(docs, "docs")
+    rows, tasks = docs.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.count(F.lit(1))).first()
+    run = max(1, -(-(rows or 0) // max(1, tasks)))
+    place = F.concat_ws("@", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / run).cast("string"))
+    return docs.withColumn("_split", F.sha1(place))
 
 
-def deliver(answers: DataFrame, name: str) -> str:
-    """Write answers (with column _split) so that a task can read those of one split."""
+def deliver(answers: DataFrame, name: str, docs: DataFrame) -> str:
+    """Write answers (with column _split) so that a task can read those of one split.
+
+    Each split of docs gets a row of nulls too, which tells a split without answers from an unknown one.
+    """
     path = scratch(answers.sparkSession, name)
-    answers.repartition("_split").write.partitionBy("_split").parquet(path)
+    known = docs.select("_split").distinct()
+    answers.unionByName(known, allowMissingColumns=True).repartition("_split").write.partitionBy("_split").parquet(path)
     return path
 
 
 def delivered(path: str, split: str, columns: list[str]) -> pa.Table | None:
-    """On an executor: the answers for one split, None if there are none."""
+    """On an executor: the answers for one split, None if there are none. The first column of an answer is never null."""
     fs, root = filesystem(path)
     folder = f"{root}/_split={split}"
     if fs.get_file_info(folder).type == pyarrow.fs.FileType.NotFound:
-        return None
+        raise ValueError(f"{path} doesn't know the split {split}: rows have moved since it was written")
     files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if f.path.endswith(".parquet")]
-    tables = [pq.read_table(f, columns=columns, filesystem=fs, partitioning=None) for f in sorted(files)]
-    return pa.concat_tables(tables) if tables else None
+    found = pa.concat_tables([pq.read_table(f, columns=columns, filesystem=fs, partitioning=None) for f in sorted(files)])
+    found = found.filter(pc.is_valid(found.column(columns[0])))
+    return found if found.num_rows else None
 
 
 def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:

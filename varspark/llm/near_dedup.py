@@ -203,7 +203,7 @@ def _confirm(k: int, percent: int):
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """A text of each of the classes wanted, read from the split that has it."""
-    told = c.deliver(nodes.join(wanted, "node").select(F.col("split").alias("_split"), "key", "node"), "op6-wanted")
+    told = c.deliver(nodes.join(wanted, "node").select(F.col("split").alias("_split"), "key", "node"), "op6-wanted", docs)
     return c.keep(docs.mapInArrow(_fetch(told), "node binary, text string"), "op6-texts")
 
 

@@ -250,9 +250,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -
     told: list[str] = []
     for _ in range(ROWS):
         asked = docs.mapInArrow(_send_cells(window, width, list(told)), ASK)
-        told.append(c.deliver(asked.groupBy("shard").applyInPandas(_merge_cells(width), "_split string, shard int, cells binary"), "op1-cells"))
+        told.append(c.deliver(asked.groupBy("shard").applyInPandas(_merge_cells(width), "_split string, shard int, cells binary"), "op1-cells", docs))
     keys = docs.mapInArrow(_send_keys(window, width, told, shards), "shard int, _split string, h binary, g binary, doc binary, more binary")
-    found = c.deliver(keys.groupBy("shard").applyInPandas(_merge_keys, "_split string, h binary, g binary, doc binary"), "op1-keys")
+    found = c.deliver(keys.groupBy("shard").applyInPandas(_merge_keys, "_split string, h binary, g binary, doc binary"), "op1-keys", docs)
     c.drop_path(docs.sparkSession, *told)
     kept = "kept string" if with_text else "kept_sha256 string"
     return docs.mapInArrow(_apply(window, found, with_text), f"doc_id long, n_words long, n_removed long, {kept}")

@@ -479,11 +479,11 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, min(MAX_SHARDS, size // SHARD_BYTES))
     counted = docs.mapInArrow(_send_anchors(length, gram, shards), "shard int, _split string, h binary, n binary")
-    asked = c.deliver(counted.groupBy("shard").applyInPandas(_merge_counts(hot), ANSWER), "op8-anchors")
+    asked = c.deliver(counted.groupBy("shard").applyInPandas(_merge_counts(hot), ANSWER), "op8-anchors", docs)
     spans = docs.mapInArrow(_send_spans(length, gram, shards, asked), "shard int, _split string, head binary, body binary")
-    found = c.deliver(spans.groupBy("shard").applyInPandas(_merge_spans(length), "_split string, key binary, start binary, stop binary"), "op8-spans")
+    found = c.deliver(spans.groupBy("shard").applyInPandas(_merge_spans(length), "_split string, key binary, start binary, stop binary"), "op8-spans", docs)
     strings = docs.mapInArrow(_send_hot(length, gram, shards, asked), "shard int, _split string, h binary, g binary, n binary")
-    twice = c.deliver(strings.groupBy("shard").applyInPandas(_merge_counts(hot, True), ANSWER), "op8-hot")
+    twice = c.deliver(strings.groupBy("shard").applyInPandas(_merge_counts(hot, True), ANSWER), "op8-hot", docs)
     kept = "kept binary" if with_bytes else "kept string"
     out = docs.mapInArrow(_apply(length, gram, found, asked, twice, with_bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")
     return out if with_bytes else out.withColumnRenamed("kept", "kept_sha256")

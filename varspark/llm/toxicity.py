@@ -279,7 +279,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def _learn(docs: DataFrame, there: DataFrame, total, sample: int):
-    told = c.deliver(there, "op3-told")
+    told = c.deliver(there, "op3-told", docs)
     counted = docs.mapInArrow(_count(told), "shard int, h binary, n binary, t binary")
     best = counted.groupBy("shard").applyInPandas(_telling(total[0], total[1]), "h long, z double").orderBy(F.abs("z").desc(), "h").limit(FEATURES).toPandas()
     h = best["h"].to_numpy().astype(np.int64).view(np.uint64)
@@ -287,7 +287,7 @@ def _learn(docs: DataFrame, there: DataFrame, total, sample: int):
     known = h[order]
     few = there if total[0] <= sample else there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # SAMPLE rows of FEATURES bytes each
-    rows = docs.mapInArrow(_sample(c.deliver(few, "op3-few"), known), "toxic int, x binary, votes binary").orderBy("x", "toxic", "votes").toPandas()
+    rows = docs.mapInArrow(_sample(c.deliver(few, "op3-few", docs), known), "toxic int, x binary, votes binary").orderBy("x", "toxic", "votes").toPandas()
     x = np.frombuffer(b"".join(rows["x"]), np.uint8).reshape(len(rows), len(known))[:, np.argsort(order)]
     votes = np.frombuffer(b"".join(rows["votes"]), np.uint8).reshape(len(rows), -1)
     weights, bias, _ = fit(x, rows["toxic"].to_numpy(), votes, best["z"].to_numpy())
