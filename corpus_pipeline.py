@@ -12,7 +12,7 @@ from varspark.llm import common as c
 from varspark.llm.decontaminate import decontaminate
 from varspark.llm.line_dedup import line_dedup
 from varspark.llm.mixing import mix
-from varspark.llm.near_dedup import near_dedup
+from varspark.llm.near_dedup import near_rows
 from varspark.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,9 +29,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays."""
-    gone = near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates stays, that with the smallest doc_id (null comes last)."""
+    rows = c.with_split(docs.select(*COLUMNS), "_row")
+    gone = near_rows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_split", "_row")).where("NOT first").select("_split", "_row")
+    return rows.join(gone, ["_split", "_row"], "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

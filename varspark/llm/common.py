@@ -88,8 +88,8 @@ def mapped(uri: str, dtype) -> np.ndarray:
 # ---------------------------------------------------------------- split routing
 
 
-def with_split(docs: DataFrame) -> DataFrame:
-    """docs with ``_split``, the file of each row and the run of rows that it stands in.
+def with_split(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """docs with ``_split``, the file of each row and the run of rows that it stands in; its place in the file as column row.
 
     It follows from the row's place in its file alone, so scans that are planned later, with other executors or
     split sizes, agree on it. Runs have as many rows as a task of the present plan has on average.
@@ -103,7 +103,7 @@ def with_split(docs: DataFrame) -> DataFrame:
     rows, tasks = docs.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.count(F.lit(1))).first()
     run = max(1, -(-(rows or 0) // max(1, tasks)))
     place = F.concat_ws("@", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / run).cast("string"))
-    return docs.withColumn("_split", F.sha1(place))
+    return docs.withColumns({"_split": F.sha1(place)} | ({row: F.col("_metadata.row_index")} if row else {}))
 
 
 def deliver(answers: DataFrame, name: str, docs: DataFrame) -> str:

@@ -118,7 +118,7 @@ def _sign(k: int):
             node = np.stack([c.mix(a), c.mix(b + n.astype(np.uint64))], axis=1)
             registers = sketch(h, row, batch.num_rows)
             yield c.table(
-                doc_id=batch.column(batch.schema.get_field_index("doc_id")), split=[split] * batch.num_rows, key=_doc_keys(batch), n=n.astype(np.int64),
+                doc_id=batch.column(batch.schema.get_field_index("doc_id")), split=[split] * batch.num_rows, row=batch.column(batch.schema.get_field_index("_row")), key=_doc_keys(batch), n=n.astype(np.int64),
                 node=pa.array([x.tobytes() for x in node], pa.binary()), registers=pa.array([x.tobytes() for x in registers], pa.binary()),
             )
 
@@ -297,7 +297,7 @@ def _links_again(bands: DataFrame, nodes: DataFrame, labels: DataFrame, tested:
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each document.
+    """doc_id, n_shingles, component_id and kept for each document (near_rows has one kept row of each component).
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of k-word
     shingles (A-Z lower-cased). Documents without words are linked with nothing. component_id is the
@@ -305,23 +305,34 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     rows with null doc_ids only those go that are linked with a named document. Equal rows stay together.
     Only doc_id and text are read; rows may repeat.
     """
-    docs = c.with_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    signs = c.keep(docs.mapInArrow(_sign(k), "doc_id long, split string, key long, n long, node binary, registers binary"), "op6-signs")
+    docs = c.with_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "_row")
+    return near_rows(docs, k, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_rows(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
+    """_split, _row, doc_id, n_shingles, component_id and first of each row of docs (doc_id, text, _split and _row).
+
+    first holds for one row of each component, that with the smallest doc_id; null doc_ids come last, and of
+    rows with one doc_id that with the smallest hash of its text. It holds for all rows without words.
+    """
+    signs = c.keep(docs.mapInArrow(_sign(k), "doc_id long, split string, row long, key long, n long, node binary, registers binary"), "op6-signs")
     full = signs.where("n > 0")
-    one = F.min_by(F.struct("split", "key", "n", "registers"), F.struct(F.coalesce("doc_id", F.lit(LAST)), "split", "key"))
-    nodes = c.keep(full.groupBy("node").agg(one.alias("one"), F.min("doc_id").alias("first")).select("node", "one.*", "first"), "op6-nodes")
+    order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "key", "split", "row")
+    one = F.min_by(F.struct("split", "key", "n", "registers"), order)
+    nodes = c.keep(full.groupBy("node").agg(one.alias("one"), F.min("doc_id").alias("first"), F.min(order).alias("head")).select("node", "one.*", "first", "head"), "op6-nodes")
     bands = nodes.select("node", "registers").mapInArrow(_bands, "bucket long, node binary")
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "a")
     pairs = c.keep(bands.join(hubs, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "op6-pairs")
     links = _links(pairs, nodes, docs, k, percent)
     labels = components(links)
     labels = components(links.union(_links_again(bands, nodes, labels, pairs, docs, k, percent)))
-    named = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = c.keep(named.join(smallest, "label").select("node", "component_id"), "op6-components")
-    out = signs.select("doc_id", "n", "node").join(of, "node", "left")
+    named = nodes.select("node", "first", "head").join(labels, "node", "left").select("node", "first", "head", F.coalesce("label", "node").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.min("head").alias("head"))
+    of = c.keep(named.select("node", "label").join(smallest, "label").select("node", "component_id", F.col("head.split").alias("at"), F.col("head.row").alias("at_row")), "op6-components")
+    out = signs.select("doc_id", "n", "node", "split", "row").join(of, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    first = (F.col("n") == 0) | ((F.col("split") == F.col("at")) & (F.col("row") == F.col("at_row")))
+    return out.select(F.col("split").alias("_split"), F.col("row").alias("_row"), "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), first.alias("first"))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
