@@ -1,0 +1,21 @@
+import io
+
+from varspark.llm import common as c
+from varspark.llm.warc import Members, read_warc, write_archives
+
+
+def test_revisits_name_records_that_exist(spark):
+    rows = [(1, "http://a/ b", "x"), (2, None, "x"), (3, "http://c", "x"), (None, "http://d", "x"), (4, "ftp://é", "y"), (5, None, "y"), (6, "http://e", None), (7, "http://f", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = []
+    for r in write_archives(df, c.scratch(spark, "t")).collect():
+        fs, at = c.filesystem(r.file)
+        with fs.open_input_stream(at) as raw:
+            records += [h for h, _ in read_warc(io.BufferedReader(Members(raw))) if h["WARC-Type"] != "warcinfo"]
+    known = {h["WARC-Record-ID"]: h for h in records if h["WARC-Type"] == "response"}
+    revisits = [h for h in records if h["WARC-Type"] == "revisit"]
+    assert len(known) == 3 and len(revisits) == 5
+    for h in revisits:
+        to = known[h["WARC-Refers-To"]]
+        assert (to["WARC-Payload-Digest"], to["WARC-Target-URI"]) == (h["WARC-Payload-Digest"], h["WARC-Refers-To-Target-URI"])
+        assert not any(k.startswith("X-") for k in h)

@@ -109,6 +109,11 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return b"WARC/1.1\r\n" + lines.encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
 
 
+def page_record_id(url: str, date: str, digest: str, block: bytes) -> str:
+    """WARC-Record-ID of the record that stands for an ARC record: block is the ARC record's, also where a revisit leaves it out."""
+    return record_id(url, date, digest, hashlib.sha1(block).hexdigest())
+
+
 def convert(arc: ArcRecord, refers_to: tuple[str, str] | None = None) -> bytes:
     """The WARC record that stands for an ARC record. refers_to: identifier and URL of an earlier equal payload."""
     is_http = arc.url.startswith(("http:", "https:")) and arc.block.startswith(b"HTTP/")
@@ -116,7 +121,7 @@ def convert(arc: ArcRecord, refers_to: tuple[str, str] | None = None) -> bytes:
     digest = f"sha1:{sha1_base32(payload)}"
     block = head if refers_to and is_http else b"" if refers_to else arc.block
     headers = [
-        ("WARC-Record-ID", record_id(arc.url, arc.date, digest, hashlib.sha1(arc.block).hexdigest())), ("WARC-Date", warc_date(arc.date)), ("WARC-Target-URI", arc.url),
+        ("WARC-Record-ID", page_record_id(arc.url, arc.date, digest, arc.block)), ("WARC-Date", warc_date(arc.date)), ("WARC-Target-URI", arc.url),
         *([("WARC-IP-Address", arc.ip)] if arc.ip not in ("-", "0.0.0.0") else []),
         ("WARC-Payload-Digest", digest), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
         ("Content-Type", "application/http; msgtype=response" if is_http else arc.content_type),
@@ -197,15 +202,17 @@ def _write(path: str, date: str):
             for i in range(batch.num_rows):
                 page_id, url, html, refers, to_url = (rows[k][i].as_py() for k in ("page_id", "url", "html", "refers_to", "refers_url"))
                 version = 1 + (page_id or 0) % 2
-                block = _page_block(page_id, (html or "").encode())
+                payload = (html or "").encode()
+                block = _page_block(page_id, payload)
                 head = arc_header(_page_url(url), "-", date, "text/html", len(block), version, "pages.arc")
                 for arc in read_arc(io.BytesIO(arc_version_block("pages.arc", version, date) + head + block + b"\n")):
                     if out is None:
                         out = fs.open_output_stream(f"{root}/{name}")
                         out.write(_gzip(warc_record("warcinfo", [("WARC-Record-ID", record_id(name)), ("WARC-Date", warc_date(date)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: varspark\r\nformat: WARC File Format 1.1\r\n")))
-                    to = (record_id("page", refers), _page_url(to_url)) if refers is not None else None
-                    warc = convert(arc, to)
-                    out.write(_gzip(warc.replace(b"WARC-Refers-To: ", f"X-Refers-To-Page: {refers}\r\nWARC-Refers-To: ".encode(), 1) if to else warc))
+                    to = None
+                    if refers is not None:  # the payload is the same there
+                        to = page_record_id(_page_url(to_url), arc.date, f"sha1:{sha1_base32(payload)}", _page_block(refers, payload)), _page_url(to_url)
+                    out.write(_gzip(convert(arc, to)))
                     n += 1
         if out is not None:
             out.close()
@@ -215,8 +222,8 @@ def _write(path: str, date: str):
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to_id", "record_id", "date"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
     for batch in batches:
         for uri in batch.column(0).to_pylist():
             fs, at = c.filesystem(uri)
@@ -230,8 +237,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest = f["WARC-Payload-Digest"].partition(":")[2]
                     if f["WARC-Type"] == "response" and sha1_base32(payload) != digest:
                         raise ValueError(f"{uri}: {f['WARC-Record-ID']} doesn't have its digest")
-                    page, to = http.get("X-Page-Id"), f.get("X-Refers-To-Page")
-                    rows.append((page and int(page), f["WARC-Target-URI"], int(http["Content-Length"]), digest, f["WARC-Type"], to and int(to), f["WARC-Record-ID"], f["WARC-Date"]))
+                    page = http.get("X-Page-Id")
+                    rows.append((page and int(page), f["WARC-Target-URI"], int(http["Content-Length"]), digest, f["WARC-Type"], f.get("WARC-Refers-To"), f["WARC-Record-ID"], f["WARC-Date"]))
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
@@ -257,8 +264,17 @@ def write_archives(pages: DataFrame, path: str, date: str = "20240101000000", mi
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """The records of the listed archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id, date."""
-    return files.select("file").repartition(F.col("file")).mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, date string")
+    """The records of the listed archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id, date.
+
+    refers_to is the page_id of the response whose WARC-Record-ID a revisit names, null where the archives don't have it.
+    """
+    records = files.select("file").repartition(F.col("file")).mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to_id string, record_id string, date string")
+    records = c.keep(records, "op5-records")
+    others = records.where("record_type <> 'revisit'")
+    named = c.keep(others.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to")), "op5-ids")
+    revisits = records.where("record_type = 'revisit'").join(named, "refers_to_id", "left")
+    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date"]
+    return others.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(revisits.select(columns))
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
