@@ -367,3 +367,33 @@ _pi = "2.0 * ac / an * (1 - 1.0 * ac / an) * an / (an - 1)"
 def coselection(c):
     pi = dv.pop_summary(c).select("chr", "pop", F.round("pi", 9).alias("x"))
     return ph.coselection(pi, "chr", "pop", "x", 0.35)
+
+
+# ---------------------------------------------------------------- region queries over the whole table
+
+
+@query()
+def ld_pairs_all(c):
+    return hp.ld(c, None, None, None, "POP0", max_dist=50_000, r2_threshold=0.1)
+
+
+@query()
+def neighbors_ld_1_all(c):
+    return vb.ld_neighbors(c, ld_pairs_all(c), "G3")
+
+
+@query()
+def extract_genotypes_all(c):
+    return vb.extract_genotypes(c, None, None, None, "POP0")
+
+
+_whole = {
+    "chr = 'chr1' AND pos <= 200000 AND ": "", " WHERE chr = 'chr1' AND pos <= 30000": "",
+    "SELECT v, pos, h // 2 AS s, sum(a) AS d FROM hap GROUP BY 1, 2, 3": "SELECT chr, v, pos, h // 2 AS s, sum(a) AS d FROM hap GROUP BY 1, 2, 3, 4",
+    "ON x.s = y.s": "ON x.chr = y.chr AND x.s = y.s", "ON x.h = y.h AND y.pos": "ON x.chr = y.chr AND x.h = y.h AND y.pos",
+}
+for _name in ("ld_pairs", "neighbors_ld_1", "extract_genotypes"):
+    _sql = ORACLE[_name]
+    for _part, _new in _whole.items():
+        _sql = _sql.replace(_part, _new)
+    ORACLE[f"{_name}_all"] = _sql
