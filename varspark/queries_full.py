@@ -397,3 +397,25 @@ for _name in ("ld_pairs", "neighbors_ld_1", "extract_genotypes"):
     for _part, _new in _whole.items():
         _sql = _sql.replace(_part, _new)
     ORACLE[f"{_name}_all"] = _sql
+
+
+# ---------------------------------------------------------------- comparisons over all populations
+
+
+def _each_population(f):
+    """Union of f(population) over POP0 to POP4."""
+    one, *others = (f(f"POP{i}") for i in range(5))
+    for x in others:
+        one = one.unionByName(x)
+    return one
+
+
+@query()
+def convergent_sweeps_all(c):
+    return ph.convergent_sweeps(c, rounded(_each_population(lambda p: hp.garud_h(c, p, 50_000, 25_000))), 0.03, 2)
+
+
+@query()
+def temporal_strata_all(c):
+    windows = _each_population(lambda p: dv.genome_scan(c, p, 50_000, 25_000).select("population", "tajima_d", "fay_wu_h"))
+    return ph.temporal_strata(rounded(windows), {"recent": ("tajima_d", 0.5), "old": ("fay_wu_h", -0.5)})
