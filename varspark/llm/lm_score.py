@@ -1,15 +1,15 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark, scored from memory-mapped hash arrays.
 
-1. Every split counts its distinct training bigrams and sends them to shards by bigram hash, so no
-   frequent context or word meets in one task.
-2. A shard adds counts up, writes its part of the bigram model (hashes in ascending order and their
-   counts: two plain arrays in the shared folder) and sends what each word gains from its bigrams,
-   as a context (total, types with count 1, 2, 3+) and as a word (count, distinct contexts).
-3. Word shards add those up and write the word model the same way.
-4. Workers map the arrays into memory and look each slice's sorted hashes up. Only the sums that
+1. Every unit asks hash shards about its distinct bigrams and says how often its training texts hold them. A shard adds the
+   counts up, writes its part of the model (hashes in ascending order and their counts: plain arrays in the
+   shared folder), maps the arrays into memory and looks the asked bigrams up.
+2. Every unit asks word shards about its distinct words in the same way, and says what they gain from its texts, as a
+   word (count, distinct contexts) and as a context (total, types with count 1, 2, 3+). A bigram's gain is
+   told by one unit, which the bigram's shard names. Frequent contexts and words are one entry per unit.
+3. Units score their texts from the answers. So a task maps one shard of the model, never all, and only the sums that
    give the discounts go to the driver.
 
-Words are known by 56 bits of hash, bigrams by 64.
+Words are known by 56 bits of hash, bigrams by 62.
 """
 
 from __future__ import annotations
@@ -17,33 +17,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-FLUSH = 1 << 20  # tokens that a task gathers before it sends their counts
-BEGIN, END = np.uint64(0x0123456789ABCD), np.uint64(0x0FEDCBA9876543)  # 56-bit codes of the borders of a text
-SHARD_BYTES = 1 << 22  # input bytes for each shard of the model
-MAX_SHARDS = 1 << 16
-BIGRAM = {"h": "<u8", "n": "<u1"}  # counts of MANY and more stand in a table of their own
+BEGIN, END = np.int64(0x0123456789ABCD), np.int64(0x0FEDCBA9876543)  # 56-bit codes of the borders of a text
+WORD_BITS = 56
+BIGRAM = {"h": "<i8", "n": "<u1"}  # counts of MANY and more stand in a table of their own
 MANY = 255
-FREQUENT = {"h": "<u8", "n": "<u8"}
-WORD = {"h": "<u8", "n": "<u8", "total": "<u8", "before": "<u4", "one": "<u4", "two": "<u4", "more": "<u4"}
+FREQUENT = {"h": "<i8", "n": "<u8"}
+SUMS = ["<u8", "<u8", "<u8", "<u4", "<u4", "<u4"]  # of a word: count; total as a context; distinct contexts; types that follow once, twice, more often
+NAMES = ["n", "total", "before", "one", "two", "more"]
+WORD = {"h": "<i8", **dict(zip(NAMES, SUMS, strict=True))}
 
 
-def _bigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts and words of all tokens, rows in order, and the number of tokens per row."""
-    data, at = c.text_buffer(batch)
     start, end, first = c.words(data, at)
     n = np.diff(first)
-    stream = np.full(int((n + 2).sum()), END, np.uint64)
+    stream = np.full(int((n + 2).sum()), END, np.int64)
     row = np.cumsum(n + 2) - (n + 2)
     stream[row] = BEGIN
     inside = np.arange(len(start)) - np.repeat(first[:-1], n)
-    stream[np.repeat(row + 1, n) + inside] = c.word_hashes(data, start, end, 0, lower=True) >> np.uint64(8)
+    stream[np.repeat(row + 1, n) + inside] = c.word_hashes(data, start, end, 0, lower=True) >> np.uint64(64 - WORD_BITS)
     token = np.ones(len(stream), bool)
     token[row] = False
     at = np.flatnonzero(token)
@@ -51,106 +49,80 @@ def _bigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def bigram_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return c.mix(c.mix(v * c.ODD[6]) + w * c.ODD[7])
+    return (c.mix(c.mix(v.astype(np.uint64) * c.ODD[6]) + w.astype(np.uint64) * c.ODD[7]) >> np.uint64(64 - c.BITS)).astype(np.int64)
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    """By the upper bits, so that shards in order hold ascending hashes."""
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+class _Tokens:
+    """All tokens of a unit: contexts v, words w, the distinct bigrams and which of them each token is, and which tokens train."""
 
+    def __init__(self, unit: c.Unit):
+        got = [bigrams(data, at) for _, data, at in unit.slices()]
+        self.v, self.w, self.n = (np.concatenate(x) for x in zip(*got, strict=True))
+        self.train = np.repeat(unit.longs[0] == 0, self.n)
+        self.h, self.one, self.which = np.unique(bigram_hash(self.v, self.w), return_index=True, return_inverse=True)
+        self.count = np.bincount(self.which[self.train], minlength=len(self.h))
 
-def _combine(h: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct hashes in order, one of their positions each, and the sums of the other arrays."""
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-    return h[at], order[at], *(np.add.reduceat(s[order].astype(np.uint64), at) if len(at) else s.astype(np.uint64) for s in sums)
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words and contexts, and which of them the word and the context of each token are."""
+        word, which = np.unique(np.concatenate([self.w, self.v]), return_inverse=True)
+        return word, which[: len(self.w)], which[len(self.w) :]
 
 
-def _cuts(shard: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.diff(shard, prepend=-1))
-    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True))
-
-
-def _count(shards: int):
-    def send(held: list[tuple]) -> pa.RecordBatch:
-        v, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, at, n = _combine(bigram_hash(v, w), np.ones(len(v), np.uint32))
-        shard, v, w = shard_of(h, shards), v[at], w[at]
-        order = np.lexsort((w, v, shard))  # frequent contexts come in runs, which compress
-        v, w, n, shard = v[order], w[order], n[order].astype(np.uint32), shard[order]
-        cut = _cuts(shard)
-        payload = [c.squeeze(c.planes(v[a:b]) + c.planes(w[a:b]) + c.planes(n[a:b])) for a, b in cut]
-        return c.table(shard=pa.array(shard[[a for a, _ in cut]]), grams=pa.array(payload, pa.binary()))
+def _histogram(n: np.ndarray) -> list[int]:
+    return [int(np.count_nonzero(n == i)) for i in range(1, 5)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for _, batch in c.by_split(batches):
-            v, w, _ = _bigrams(batch)
-            held.append((v, w))
-            n += len(v)
-            if n > FLUSH:
-                yield send(held)
-                held, n = [], 0
-        if held:
-            yield send(held)
 
-    return run
+def _ask_bigrams(unit: c.Unit):
+    t = _Tokens(unit)
+    return t.h, [t.count.astype(np.uint32)]
 
 
-def _write(path: str, name: str, shard: int, arrays: dict[str, np.ndarray]) -> None:
-    """One file for each array of a shard. A repeated task writes the same bytes again, whole or not at all."""
-    fs, root = c.filesystem(path)
-    fs.create_dir(root, recursive=True)
-    for k, values in arrays.items():
-        part = f"{root}/.{name}-{k}-{shard}-{c.uuid.uuid4().hex}"
-        with fs.open_output_stream(part) as out:
-            out.write(np.ascontiguousarray(values).tobytes())
-        fs.move(part, f"{root}/{name}-{k}-{shard}")
+def _merge_bigrams(path: str):
+    def merge(shard, keys, values, of):
+        n = values[0].astype(np.uint64)
+        order = np.lexsort((of, n == 0, keys))  # of a bigram's units, the first that trains on it tells its gain
+        start = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        h, total = keys[order][start], np.add.reduceat(n[order], start)
+        seen = total > 0
+        c.write_arrays(path, "bigram", shard, {"h": h[seen], "n": np.minimum(total[seen], MANY).astype(np.uint8)})
+        c.write_arrays(path, "frequent", shard, {"h": h[total >= MANY], "n": total[total >= MANY]})
+        model, frequent = c.mapped(path, "bigram", shard, BIGRAM), c.mapped(path, "frequent", shard, FREQUENT)
+        at = c.member(model["h"], keys)
+        count = np.zeros(len(keys), np.uint64)
+        count[at >= 0] = model["n"][at[at >= 0]]
+        many = np.flatnonzero(count == MANY)
+        count[many] = frequent["n"][c.member(frequent["h"], keys[many])] if len(many) else 0
+        tells = np.zeros(len(keys), bool)
+        tells[order[start[seen]]] = True
+        return None, [count, tells], [*_histogram(total), int(seen.sum())]
 
+    return merge
 
-def _histogram(n: np.ndarray) -> list[int]:
-    return [int(np.count_nonzero(n == i)) for i in range(1, 5)]
 
+def _ask_words(path: str):
+    def leaf(unit: c.Unit):
+        t = _Tokens(unit)
+        _, (total, tells) = c.told(path, unit.unit, ["<u8", "?"], keyed=False)
+        word, as_word, as_context = t.words()
+        own = t.one[tells]  # a token of each bigram whose gain this unit tells
+        often = total[tells]
+        count = lambda at: np.bincount(at, minlength=len(word))
+        sums = [count(as_word[t.train]), count(as_context[t.train]), count(as_word[own]), *(count(as_context[own[x]]) for x in (often == 1, often == 2, often > 2))]
+        return word, [x.astype(kind) for x, kind in zip(sums, SUMS, strict=True)]
 
-def _merge_bigrams(path: str, shards: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v, w, n = [], [], []
-        for x in map(c.unsqueeze, pdf["grams"]):
-            k = len(x) // 20
-            v.append(c.unplanes(x[: 8 * k], "<u8"))
-            w.append(c.unplanes(x[8 * k : 16 * k], "<u8"))
-            n.append(c.unplanes(x[16 * k :], "<u4"))
-        v, w, n = np.concatenate(v), np.concatenate(w), np.concatenate(n)
-        h, at, n = _combine(bigram_hash(v, w), n)
-        v, w = v[at], w[at]
-        _write(path, "bigram", key[0], {"h": h, "n": np.minimum(n, MANY).astype(np.uint8)})
-        _write(path, "frequent", key[0], {"h": h[n >= MANY], "n": n[n >= MANY]})
-        gain = np.zeros((2 * len(h), 6), np.uint64)  # n, before, total, one, two, more
-        gain[: len(h), 0], gain[: len(h), 1] = n, 1
-        gain[len(h) :, 2] = n
-        for i in (1, 2):
-            gain[len(h) :, 2 + i] = n == i
-        gain[len(h) :, 5] = n > 2
-        word, _, *sums = _combine(np.concatenate([w, v]), *gain.T)
-        shard = shard_of(word << np.uint64(8), shards)
-        rows = [(int(shard[a]), c.squeeze(c.planes(word[a:b]) + b"".join(c.planes(s[a:b].astype(np.uint64)) for s in sums)), [0] * 4) for a, b in _cuts(shard)]
-        return pd.DataFrame([*rows, (-1, b"", [*_histogram(n), len(n)])], columns=["shard", "gains", "bigrams"])
-
-    return run
+    return leaf
 
 
 def _merge_words(path: str):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:  # sums over bigrams pass through
-            return pd.DataFrame({"tokens": [0], "types": [0], "words": [[0] * 4], "bigrams": [np.sum(np.stack(pdf["bigrams"].to_numpy()), axis=0).tolist()]})
-        parts = [np.frombuffer(c.unsqueeze(x), np.uint8).reshape(7, -1) for x in pdf["gains"]]
-        cols = [np.concatenate([c.unplanes(p[i].tobytes(), "<u8") for p in parts]) for i in range(7)]
-        h, _, n, before, total, one, two, more = _combine(*cols)
-        _write(path, "word", key[0], {k: x.astype(WORD[k]) for k, x in zip(("h", "n", "before", "total", "one", "two", "more"), (h, n, before, total, one, two, more), strict=True)})
-        return pd.DataFrame({"tokens": [int(n.sum())], "types": [int(np.count_nonzero(n))], "words": [_histogram(before)], "bigrams": [[0] * 5]})
+    def merge(shard, keys, values, of):
+        order, start = c.groups(keys)
+        sums = [np.add.reduceat(x[order], start) for x in values]
+        c.write_arrays(path, "word", shard, {"h": keys[order][start], **{k: x.astype(WORD[k]) for k, x in zip(NAMES, sums, strict=True)}})
+        model = c.mapped(path, "word", shard, WORD)
+        at = c.member(model["h"], keys)
+        return None, [model[k][at] for k in NAMES], [int(sums[0].sum()), int(np.count_nonzero(sums[0])), *_histogram(sums[2])]
 
-    return run
+    return merge
 
 
 def discounts(histogram: list[int]) -> np.ndarray:
@@ -164,90 +136,52 @@ def discounts(histogram: list[int]) -> np.ndarray:
     return np.array([0, 0.5, 1, 1.5])
 
 
-class HashArrays:
-    """Sorted hash arrays of all shards, mapped when first needed."""
-
-    def __init__(self, path: str, name: str, kinds: dict[str, str], shards: int):
-        self.path, self.name, self.kinds, self.shards = path, name, kinds, shards
-        self.maps: dict[int, dict[str, np.ndarray] | None] = {}
-        self.fs, self.root = c.filesystem(path)
-
-    def _shard(self, i: int) -> dict[str, np.ndarray] | None:
-        if i not in self.maps:
-            there = self.fs.get_file_info(f"{self.root}/{self.name}-h-{i}").type != pa.fs.FileType.NotFound
-            self.maps[i] = {k: c.mapped(f"{self.path}/{self.name}-{k}-{i}", kind) for k, kind in self.kinds.items()} if there else None
-        return self.maps[i]
-
-    def find(self, h: np.ndarray, shift: int = 0) -> dict[str, np.ndarray]:
-        """The other arrays' values for each hash, 0 where it is unknown."""
-        asked, back = np.unique(h, return_inverse=True)
-        out = {k: np.zeros(len(asked), np.float64) for k in self.kinds if k != "h"}
-        for a, b in _cuts(shard_of(asked << np.uint64(shift), self.shards)):
-            held = self._shard(int(shard_of(asked[a : a + 1] << np.uint64(shift), self.shards)[0]))
-            if held is None or not len(held["h"]):
-                continue
-            at = np.searchsorted(held["h"], asked[a:b])
-            at[at == len(held["h"])] = 0
-            known = held["h"][at] == asked[a:b]
-            for k, values in out.items():
-                values[a:b] = np.where(known, held[k][at], 0)
-        return {k: x[back] for k, x in out.items()}
-
-
-def _score(path: str, shards: int, facts: dict):
-    d1, d2 = np.array(facts["word_discounts"]), np.array(facts["bigram_discounts"])
-    tokens, types, pairs = facts["tokens"], facts["types"], max(1, facts["pairs"])
-    ones, twos, mores = facts["words"]
-    rest = (d1[1] * ones + d1[2] * twos + d1[3] * mores) / pairs if facts["pairs"] else 1.0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bigrams, frequent, known_words = (HashArrays(path, *x, shards) for x in (("bigram", BIGRAM), ("frequent", FREQUENT), ("word", WORD)))
-        for _, batch in c.by_split(batches):
-            v, w, n = _bigrams(batch)
-            at = np.cumsum(n) - n
-            own = known_words.find(np.concatenate([w, v]), 8)
-            word, context = ({k: x[s] for k, x in own.items()} for s in (slice(len(w)), slice(len(w), None)))
-            pair = bigram_hash(v, w)
-            count = bigrams.find(pair)["n"]
-            many = np.flatnonzero(count == MANY)
-            if len(many):
-                count[many] = frequent.find(pair[many])["n"]
-            before, total = word["before"], context["total"]
-            p1 = (before - d1[np.minimum(before, 3).astype(int)]) / pairs + rest / (types + 1)
-            weight = np.where(total > 0, (d2[1] * context["one"] + d2[2] * context["two"] + d2[3] * context["more"]) / np.maximum(total, 1), 1.0)
-            p2 = (count - d2[np.minimum(count, 3).astype(int)]) / np.maximum(total, 1) + weight * p1
-            base = np.log10((word["n"] + 1) / (tokens + types + 1))
-            score = np.add.reduceat(np.log10(p2), at)
-            column = lambda k: batch.column(batch.schema.get_field_index(k))
-            yield c.table(
-                doc_id=column("doc_id"), held_out=column("held_out"), n_tokens=n.astype(np.int64),
-                n_known=np.add.reduceat((word["n"] > 0).astype(np.int64), at), train_tokens=np.full(len(n), tokens, np.int64),
-                base_score=np.add.reduceat(base, at), score=score, perplexity=np.power(10.0, np.minimum(300.0, -score / n)),
-            )
-
-    return run
-
-
-def lm_score(docs: DataFrame, held_out) -> DataFrame:
+def _score(grams: str, words: str, told: dict):
+    d1, d2 = np.array(told["word_discounts"]), np.array(told["bigram_discounts"])
+    tokens, types, pairs = told["tokens"], told["types"], max(1, told["pairs"])
+    ones, twos, mores = told["words"]
+    rest = (d1[1] * ones + d1[2] * twos + d1[3] * mores) / pairs if told["pairs"] else 1.0
+
+    def work(unit: c.Unit) -> Iterator[pa.RecordBatch]:
+        t = _Tokens(unit)
+        _, (count, _) = c.told(grams, unit.unit, ["<u8", "?"], keyed=False)
+        _, sums = c.told(words, unit.unit, SUMS, keyed=False)
+        _, as_word, as_context = t.words()
+        known = {k: x.astype(np.float64) for k, x in zip(NAMES, sums, strict=True)}
+        word, context = ({k: x[at] for k, x in known.items()} for at in (as_word, as_context))
+        at, count = np.cumsum(t.n) - t.n, count.astype(np.float64)[t.which]
+        before, total = word["before"], context["total"]
+        p1 = (before - d1[np.minimum(before, 3).astype(int)]) / pairs + rest / (types + 1)
+        weight = np.where(total > 0, (d2[1] * context["one"] + d2[2] * context["two"] + d2[3] * context["more"]) / np.maximum(total, 1), 1.0)
+        p2 = (count - d2[np.minimum(count, 3).astype(int)]) / np.maximum(total, 1) + weight * p1
+        base = np.log10((word["n"] + 1) / (tokens + types + 1))
+        score = np.add.reduceat(np.log10(p2), at)
+        yield c.table(
+            doc_id=unit.doc_id, held_out=unit.longs[0] > 0, n_tokens=t.n.astype(np.int64),
+            n_known=np.add.reduceat((word["n"] > 0).astype(np.int64), at), train_tokens=np.full(unit.n, tokens, np.int64),
+            base_score=np.add.reduceat(base, at), score=score, perplexity=np.power(10.0, np.minimum(300.0, -score / t.n)),
+        )
+
+    return c.each_unit(work)
+
+
+def lm_score(docs: DataFrame, held_out, fan: int | None = None) -> DataFrame:
     """Scores of every document under a model of those where the column ``held_out`` is false or null.
 
     base_score is add-one smoothed: the sum of log10((c + 1) / (N + V + 1)). A null text is empty and has
     one token, its end. Unseen words share what the word level leaves over, 1 / (V + 1) of it each. Where
     nothing is held in, every token gets 1. Rows may repeat; only doc_id, text and what held_out reads are used.
+    ``fan``: shards that a unit sends to directly.
     """
-    docs = docs.withColumn("_held", F.coalesce(held_out, F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_held").alias("held_out"))
-    spark, docs = docs.sparkSession, docs.withColumn("_split", F.lit(""))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, path = max(1, min(MAX_SHARDS, size // SHARD_BYTES)), c.scratch(spark, "op2-model")
-    counted = docs.where("NOT held_out").mapInArrow(_count(shards), "shard int, grams binary")
-    gains = counted.groupBy("shard").applyInPandas(_merge_bigrams(path, shards), "shard int, gains binary, bigrams array<long>")
-    facts = gains.groupBy("shard").applyInPandas(_merge_words(path), "tokens long, types long, words array<long>, bigrams array<long>")
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    sums = facts.agg(total("tokens"), total("types"), *(total(F.col("words")[i]) for i in range(4)), *(total(F.col("bigrams")[i]) for i in range(5))).first()
-    tokens, types, *words = map(int, sums[:6])
-    *grams, pairs = map(int, sums[6:])
-    told = {"tokens": tokens, "types": types, "pairs": pairs, "words": [words[0], words[1], types - words[0] - words[1]], "word_discounts": discounts(words).tolist(), "bigram_discounts": discounts(grams).tolist()}
-    return docs.mapInArrow(_score(path, shards, told), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).cast("long").alias("held"))
+    spark, shards = docs.sparkSession, c.shard_count(docs)
+    packed, path = c.units(docs, "op2-units", "held"), c.scratch(docs.sparkSession, "op2-model")
+    grams = c.ask(packed, _ask_bigrams, ["<u4"], _merge_bigrams(path), shards, "op2-bigrams", fan=fan)
+    words = c.ask(packed, _ask_words(grams), SUMS, _merge_words(path), shards, "op2-words", WORD_BITS, fan)
+    *often, pairs = c.facts(spark, grams, 5)
+    tokens, types, *before = c.facts(spark, words, 6)
+    told = {"tokens": tokens, "types": types, "pairs": pairs, "words": [before[0], before[1], types - before[0] - before[1]], "word_discounts": discounts(before).tolist(), "bigram_discounts": discounts(often).tolist()}
+    return packed.mapInArrow(_score(grams, words, told), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

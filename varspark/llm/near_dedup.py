@@ -8,7 +8,7 @@
    out the threshold; then the full sets are compared.
 3. Components are formed. Only buckets whose classes still lie in several components are gone through
    again: small ones by all pairs of classes from different components; the components of large ones are
-   joined to clusters, whose classes are compared in blocks, by counts of common shingles over an inverted index, of
+   joined to clusters, whose classes are compared in blocks of similar set sizes, by counts of common shingles over an inverted index, of
    which only links that join components come out as rows.
 4. Components are formed again, and named by their smallest doc_id.
 
@@ -18,10 +18,10 @@ Only texts of classes in candidate pairs are shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -33,16 +33,16 @@ M, BANDS, BAND = 252, 42, 6  # registers, bands, registers of a band
 BASE, SHIFT = 1.08, 30  # spacing of register values; value SHIFT + 1 is a minimum of 1
 DOUBT = 15.0  # log likelihood ratio that rules a pair out
 SMALL = 32  # classes of a bucket that are paired in the JVM when it is gone through again
-BLOCK = 256  # classes of a cluster that are compared with as many others at once
+BLOCK = 1 << 17  # shingles of a block of a cluster's classes, which is compared with other blocks
+SALTS = 8  # places where a node's label meets its neighbours
 LAST = 0x7FFFFFFFFFFFFFFF
 
 
 # ---------------------------------------------------------------- sets and sketches
 
 
-def shingles(batch: pa.RecordBatch, k: int, name: str = "text"):
+def shingles(data: np.ndarray, at: np.ndarray, k: int):
     """Distinct shingles of all rows: two hashes and the row of each (rows ascending), and the number per row."""
-    data, at = c.text_buffer(batch, name)
     start, end, first = c.words(data, at)
     hashes = [c.word_hashes(data, start, end, i, lower=True) for i in (0, 1)]
     where, row = c.windows(first, k)
@@ -58,7 +58,7 @@ def shingles(batch: pa.RecordBatch, k: int, name: str = "text"):
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, g, row = h[new], g[new], row[new]
-    return h, g, row, np.bincount(row, minlength=batch.num_rows)
+    return h, g, row, np.bincount(row, minlength=len(at) - 1)
 
 
 def sketch(h: np.ndarray, row: np.ndarray, rows: int, m: int = M) -> np.ndarray:
@@ -102,27 +102,22 @@ def not_below(similarity: float, a: np.ndarray, b: np.ndarray, n_a: np.ndarray,
     return (top >= similarity - 1e-12) & (np.maximum(best, above) - above <= DOUBT)
 
 
-def _doc_keys(batch: pa.RecordBatch) -> np.ndarray:
-    data, at = c.text_buffer(batch)
-    body = c.range_hash(c.prefix_hash(c.BYTE[0][data], 2), at[:-1], at[1:], 2)
-    return c.mix(c.mix(body + c.ids(batch).astype(np.uint64) * c.ODD[6]) + np.diff(at).astype(np.uint64)).astype(np.int64)
-
-
-def _sign(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for split, batch in c.by_split(batches):
-            h, g, row, n = shingles(batch, k)
-            a, b = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+def _sign(k: int, longs: list[str]):
+    def work(unit: c.Unit) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in unit.slices():
+            h, g, row, n = shingles(data, at, k)
+            a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             np.add.at(a, row, c.mix(h ^ c.ODD[4]))
             np.add.at(b, row, c.mix(g ^ c.ODD[5]))
             node = np.stack([c.mix(a), c.mix(b + n.astype(np.uint64))], axis=1)
-            registers = sketch(h, row, batch.num_rows)
+            registers = sketch(h, row, len(n))
+            body = c.mix(c.range_hash(c.prefix_hash(c.BYTE[0][data], 2), at[:-1], at[1:], 2) + np.diff(at).astype(np.uint64))
             yield c.table(
-                doc_id=batch.column(batch.schema.get_field_index("doc_id")), split=[split] * batch.num_rows, row=batch.column(batch.schema.get_field_index("_row")), key=_doc_keys(batch), n=n.astype(np.int64),
-                node=pa.array([x.tobytes() for x in node], pa.binary()), registers=pa.array([x.tobytes() for x in registers], pa.binary()),
+                doc_id=unit.doc_id[rows], unit=np.full(len(n), unit.unit), row=np.arange(rows.start, rows.stop), key=body.astype(np.int64), n=n.astype(np.int64),
+                node=pa.array([x.tobytes() for x in node], pa.binary()), registers=pa.array([x.tobytes() for x in registers], pa.binary()), **{x: v[rows] for x, v in zip(longs, unit.longs, strict=True)},
             )
 
-    return run
+    return c.each_unit(work)
 
 
 def _registers(column) -> np.ndarray:
@@ -156,29 +151,23 @@ def _likely(similarity: float):
 
 
 def _fetch(path: str):
-    """node and text of the documents that path lists for a split, each once."""
+    """node and text of the documents that path lists for a unit."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, wanted = None, {}
-        for split, batch in c.by_split(batches):
-            if split != last:
-                last, listed = split, c.delivered(path, split, ["key", "node"])
-                wanted = dict(zip(listed.column("key").to_pylist(), listed.column("node").to_pylist(), strict=True)) if listed is not None else {}
-            if not wanted:
-                continue
-            rows = [(i, wanted.pop(k)) for i, k in enumerate(_doc_keys(batch).tolist()) if k in wanted]
-            if rows:
-                at, node = zip(*rows, strict=True)
-                yield c.table(node=pa.array(node, pa.binary()), text=pc.take(batch.column(batch.schema.get_field_index("text")), pa.array(at)))
+    def work(unit: c.Unit) -> Iterator[pa.RecordBatch]:
+        listed = c.delivered(path, unit.unit, ["row", "node"], "unit")
+        for i in range(0, 0 if listed is None else listed.num_rows, 256):
+            part = listed.slice(i, 256)
+            texts = [unit.text(x) for x in part.column("row").to_pylist()]
+            yield c.table(node=pa.array(part.column("node").to_pylist(), pa.binary()), text=pa.array(texts, pa.binary()).cast(pa.string()))
 
-    return run
+    return c.each_unit(work)
 
 
 def common_shingles(batch: pa.RecordBatch, k: int) -> np.ndarray:
     """Per row, how many shingles the sets of text_a and text_b share."""
     keys = []
     for name in ("text_a", "text_b"):
-        h, g, row, _ = shingles(batch, k, name)
+        h, g, row, _ = shingles(*c.text_buffer(batch, name), k)
         keys.append((h, g, row))
     h, g, row = (np.concatenate(x) for x in zip(*keys, strict=True))
     order = np.lexsort((g, h, row))
@@ -202,8 +191,8 @@ def _confirm(k: int, percent: int):
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """A text of each of the classes wanted, read from the split that has it."""
-    told = c.deliver(nodes.join(wanted, "node").select(F.col("split").alias("_split"), "key", "node"), "op6-wanted", docs)
+    """A text of each of the classes wanted, read from the unit that has it."""
+    told = c.deliver(nodes.join(wanted, "node").select("row", "node", "unit"), "op6-wanted", docs, "unit")
     return c.keep(docs.mapInArrow(_fetch(told), "node binary, text string"), "op6-texts")
 
 
@@ -220,11 +209,16 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label of every linked node: the smallest node that it reaches. Labels spread to neighbours and jump along pointers."""
-    both = c.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "op6-both")
+    """node, label of every linked node: the smallest node that it reaches. Labels spread to neighbours and jump along pointers.
+
+    A node's label meets its neighbours in SALTS places, so that a node that a third of all others are linked with isn't one task's.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = c.keep(both.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")), "op6-both")
     labels = c.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "op6-labels")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label", salts), ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
         out = c.keep(step.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("changed")), "op6-labels")
@@ -236,37 +230,46 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- buckets gone through again
 
 
-def _block_links(k: int, percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between the two blocks of a group (or inside its only one) that join components, a spanning set of them."""
-        pdf = pdf.sort_values("node", kind="stable")
-        h, g, row, n = shingles(pa.RecordBatch.from_pydict({"text": pa.array(pdf["text"], pa.string())}), k)
-        side, label, node = pdf["side"].to_numpy(), pdf["label"].to_numpy(), pdf["node"].to_numpy()
-        ahead = side[row] == side.max()  # the inverted index: sorted shingles of the second block
-        order = np.lexsort((g[ahead], h[ahead]))
-        key, other, owner = h[ahead][order], g[ahead][order], row[ahead][order]
-        top = {x: x for x in label}
+def _block_links(k: int, percent: int, path: str):
+    """Links between the two blocks that each row names (or inside its only one) that join components, a spanning set of them."""
+
+    def block(number: int):
+        got = c.delivered(path, number, ["node", "label", "text"], "block").sort_by("node")
+        batch = pa.record_batch({"text": got.column("text").combine_chunks()})
+        return got.column("node").to_pylist(), got.column("label").to_pylist(), *shingles(*c.text_buffer(batch), k)
+
+    def links(i: int, j: int, top: dict):
+        node_a, label_a, h, g, row, n_a = block(i)
+        node_b, label_b, h_b, g_b, row_b, n_b = block(j) if i != j else (node_a, label_a, h, g, row, n_a)
 
         def root(x):
-            while top[x] != x:
+            while top.setdefault(x, x) != x:
                 top[x] = top[top[x]]
                 x = top[x]
             return x
 
-        out = []
-        edge = np.searchsorted(row, np.arange(len(pdf) + 1))
-        for i in np.flatnonzero(side == side.min()):
-            own, own_g = h[edge[i] : edge[i + 1]], g[edge[i] : edge[i + 1]]
+        order = np.lexsort((g_b, h_b))  # the inverted index: sorted shingles of the second block
+        key, other, owner = h_b[order], g_b[order], row_b[order]
+        edge = np.searchsorted(row, np.arange(len(node_a) + 1))
+        for x in range(len(node_a)):
+            own, own_g = h[edge[x] : edge[x + 1]], g[edge[x] : edge[x + 1]]
             low, high = np.searchsorted(key, own), np.searchsorted(key, own, "right")
             m = high - low
             pick = np.repeat(low - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
-            shared = np.bincount(owner[pick[other[pick] == np.repeat(own_g, m)]], minlength=len(pdf))
-            for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (n + n[i] - shared))):
-                a, b = root(label[i]), root(label[j])
+            shared = np.bincount(owner[pick[other[pick] == np.repeat(own_g, m)]], minlength=len(node_b))
+            for y in np.flatnonzero((shared > 0) & (100 * shared >= percent * (n_b + n_a[x] - shared))):
+                a, b = root(label_a[x]), root(label_b[y])
                 if a != b:
                     top[max(a, b)] = min(a, b)
-                    out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+                    yield node_a[x], node_b[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                out = list(links(i, j, {}))
+                if out:
+                    a, b = zip(*out, strict=True)
+                    yield c.table(a=pa.array(a, pa.binary()), b=pa.array(b, pa.binary()))
 
     return run
 
@@ -285,12 +288,26 @@ def _links_again(bands: DataFrame, nodes: DataFrame, labels: DataFrame, tested:
     meet = components(many.where("hub <> label").select(F.col("hub").alias("a"), F.col("label").alias("b")).distinct())
     members = many.select("node", "label").distinct().join(meet.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
     members = c.keep(members, "op6-members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    members = members.join(sizes, "cluster")
-    members = members.join(_texts(members.select("node"), nodes, docs), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "label", "text")
-    return links.union(spread.groupBy("cluster", "i", "j").applyInPandas(_block_links(k, percent), "a binary, b binary"))
+    return links.union(_cluster_links(members, nodes, docs, k, percent))
+
+
+def _cluster_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members (node, label, cluster) of the same cluster. Classes whose numbers of shingles differ too much aren't compared."""
+    spark = members.sparkSession
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("long").alias("band")
+    sized = members.join(nodes.select("node", "n"), "node").select("node", "label", "cluster", "n", band)
+    sizes = sized.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    placed = sized.join(sizes, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = c.keep(placed.withColumn("block", F.xxhash64("cluster", "band", "part")), "op6-blocks")
+    # texts go to a block once; tasks read the two blocks that they compare
+    blocks = placed.select("cluster", "band", "block").distinct()
+    texts = placed.select("node", "label", "block").join(_texts(placed.select("node"), nodes, docs), "node")
+    path = c.deliver(texts.select("node", "label", "text", "block"), "op6-texts", blocks, "block")
+    one, two = blocks.toDF("cluster", "band", "i"), blocks.toDF("cluster", "other", "j")
+    pairs = one.join(two, "cluster").where("other = band + 1 OR other = band AND i <= j").select("i", "j").distinct()
+    pairs = c.keep(pairs, "op6-block-pairs")
+    tasks = max(1, min(100_000, pairs.count() // 4, 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return pairs.repartition(tasks).mapInArrow(_block_links(k, percent, path), "a binary, b binary")
 
 
 # ---------------------------------------------------------------- operator
@@ -305,20 +322,21 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     rows with null doc_ids only those go that are linked with a named document. Equal rows stay together.
     Only doc_id and text are read; rows may repeat.
     """
-    docs = c.with_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "_row")
     return near_rows(docs, k, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_rows(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
-    """_split, _row, doc_id, n_shingles, component_id and first of each row of docs (doc_id, text, _split and _row).
+def near_rows(docs: DataFrame, k: int = 5, percent: int = 85, longs: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, first and the columns longs of each row of docs (doc_id, text and longs).
 
     first holds for one row of each component, that with the smallest doc_id; null doc_ids come last, and of
     rows with one doc_id that with the smallest hash of its text. It holds for all rows without words.
     """
-    signs = c.keep(docs.mapInArrow(_sign(k), "doc_id long, split string, row long, key long, n long, node binary, registers binary"), "op6-signs")
+    docs = c.units(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *longs), "op6-units", *longs)
+    schema = "doc_id long, unit long, row long, key long, n long, node binary, registers binary" + "".join(f", `{x}` long" for x in longs)
+    signs = c.keep(docs.mapInArrow(_sign(k, list(longs)), schema), "op6-signs")
     full = signs.where("n > 0")
-    order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "key", "split", "row")
-    one = F.min_by(F.struct("split", "key", "n", "registers"), order)
+    order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "key", "unit", "row")
+    one = F.min_by(F.struct("unit", "row", "n", "registers"), order)
     nodes = c.keep(full.groupBy("node").agg(one.alias("one"), F.min("doc_id").alias("first"), F.min(order).alias("head")).select("node", "one.*", "first", "head"), "op6-nodes")
     bands = nodes.select("node", "registers").mapInArrow(_bands, "bucket long, node binary")
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "a")
@@ -328,11 +346,11 @@ def near_rows(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     labels = components(links.union(_links_again(bands, nodes, labels, pairs, docs, k, percent)))
     named = nodes.select("node", "first", "head").join(labels, "node", "left").select("node", "first", "head", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.min("head").alias("head"))
-    of = c.keep(named.select("node", "label").join(smallest, "label").select("node", "component_id", F.col("head.split").alias("at"), F.col("head.row").alias("at_row")), "op6-components")
-    out = signs.select("doc_id", "n", "node", "split", "row").join(of, "node", "left")
+    of = c.keep(named.select("node", "label").join(smallest, "label").select("node", "component_id", F.col("head.unit").alias("at"), F.col("head.row").alias("at_row")), "op6-components")
+    out = signs.select("doc_id", "n", "node", "unit", "row", *longs).join(of, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    first = (F.col("n") == 0) | ((F.col("split") == F.col("at")) & (F.col("row") == F.col("at_row")))
-    return out.select(F.col("split").alias("_split"), F.col("row").alias("_row"), "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), first.alias("first"))
+    first = (F.col("n") == 0) | ((F.col("unit") == F.col("at")) & (F.col("row") == F.col("at_row")))
+    return out.select(*longs, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), first.alias("first"))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,18 +3,16 @@
 A window is ``window`` consecutive words of one document. Each word covered by a window whose word
 sequence also starts in a document with a smaller doc_id is removed.
 
-1. Every split hashes its windows into a row of a count-min sketch and sends the cells it touched
-   (sorted, distinct, as coded gaps; cells it touched twice apart) to the sketch's shards. A shard
-   adds the partition sketches up and answers each split with those of its cells that were touched
-   at least twice. The second row is asked for only those windows that the first row lets pass. The
-   sketch overestimates, so no repeated window is lost.
-2. Only windows with repeated cells in both rows are grouped exactly by 96 bits of hash: each split
-   sends a key once with its smallest doc_id, a shard takes the minimum over splits and answers the
-   splits that have later documents.
-3. Every split marks the words under windows whose key has an earlier document.
-
-Documents are read four times; no text is shuffled and nothing passes through the driver. A window
-that a third of all documents hold is one key per split.
+1. Every unit hashes its windows into its own count-min sketch (two rows, one after the other) and sends the cells it
+   touched to the sketch's shards. A shard adds the sketches of all units up and answers each unit with those of
+   its cells that were touched at least twice. The second row is asked for only those windows that the first
+   row lets pass. The sketch overestimates, so no repeated window is lost.
+2. Only windows with repeated cells in both rows are grouped exactly, by 94 bits of hash: each unit
+   sends a key once with its smallest doc_id, a shard takes the minimum over units and answers the
+   units that have later documents.
+3. Every unit marks the words under windows whose key has an earlier document.
+
+No text is shuffled and nothing passes through the driver. A window that a third of all documents hold is one key per unit.
 """
 
 from __future__ import annotations
@@ -24,188 +22,118 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-FLUSH = 1 << 22  # windows that a task gathers before it sends their partial sketch
-CELLS_PER_WORD = 4  # sketch width for each word expected
-MAX_SHARDS = 1 << 16
+CELLS_PER_BYTE = 1  # sketch width for each byte of text, four to eight for each word
 ROWS = 2
-ASK = "shard int, _split string, once binary, twice binary"
-KEYS = np.dtype([("h", "<u8"), ("g", "<u4")])
+KEY = ["<u4", "<i8", "?"]  # of a window: further bits of hash, the smallest doc_id, whether there is a larger one
 
 
-def _hashes(batch: pa.RecordBatch, window: int):
-    data, at = c.text_buffer(batch)
+def _hashes(data: np.ndarray, at: np.ndarray, window: int):
     start, end, first = c.words(data, at)
     where, row = c.windows(first, window)
     both = [c.window_hashes(c.word_hashes(data, start, end, k), where, window, k) for k in (0, 1)]
     return first, where, row, both
 
 
-def _cells(h: np.ndarray, width: tuple[int, int]) -> np.ndarray:
-    """Cells of a sketch row with width (shards, cells of a shard)."""
-    shard = (h >> np.uint64(32)) * np.uint64(width[0]) >> np.uint64(32)
-    return (shard * np.uint64(width[1]) + ((h & np.uint64(0xFFFFFFFF)) * np.uint64(width[1]) >> np.uint64(32))).astype(np.int64)
-
-
-def _send_cells(window: int, width: tuple[int, int], told: list[str]):
-    """Cells of the next row, for the windows that the rows before (whose answers are at told) let pass."""
-    row = len(told)
-
-    def send(split: str, gathered: list[np.ndarray]) -> pa.RecordBatch:
-        cell, count = np.unique(_cells(np.concatenate(gathered), width), return_counts=True)
-        shard = cell // width[1]
-        cut = np.flatnonzero(np.diff(shard, prepend=-1))
-        once, twice = [], []
-        for a, b in zip(cut, [*cut[1:], len(cell)], strict=True):
-            own = cell[a:b] - shard[a] * width[1]
-            once.append(c.gaps(own))
-            twice.append(c.gaps(own[count[a:b] > 1]))
-        return c.table(shard=pa.array(shard[cut], pa.int32()), _split=[split] * len(cut), once=pa.array(once, pa.binary()), twice=pa.array(twice, pa.binary()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, last, repeated = [], 0, None, None
-        for split, batch in c.by_split(batches):
-            if n and (split != last or n > FLUSH):
-                yield send(last, held)
-                held, n = [], 0
-            if split != last:
-                last, repeated = split, _Repeated(told, split, width)
-            both = _hashes(batch, window)[3]
-            own = both[row][repeated.mask(both)]
-            if len(own):
-                held.append(own)
-                n += len(own)
-        if n:
-            yield send(last, held)
-
-    return run
-
-
-def _merge_cells(width: tuple[int, int]):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        touched = np.zeros(width[1], np.uint8)
-        for once, twice in zip(pdf["once"], pdf["twice"], strict=True):
-            own = c.ungaps(once)
-            touched[own] = np.minimum(touched[own] + 1, 2)
-            touched[c.ungaps(twice)] = 2
-        answers = [c.gaps(own[touched[own] > 1]) for own in map(c.ungaps, pdf["once"])]
-        out = pd.DataFrame({"_split": pdf["_split"], "shard": key[0], "cells": answers})
-        return out[out["cells"].str.len() > 0]
-
-    return run
+def _cells(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class _Repeated:
-    """The cells of one split that are estimated repeated, in each row of the sketch so far."""
+    """The cells of one unit that are estimated repeated, in each row of the sketch so far."""
 
-    def __init__(self, told: list[str], split: str, width: tuple[int, int]):
-        self.width, self.cells = width, []
-        for path in told:
-            answer = c.delivered(path, split, ["shard", "cells"])
-            found = [] if answer is None else [c.ungaps(x) + shard * width[1] for shard, x in zip(*(answer.column(k).to_pylist() for k in ("shard", "cells")), strict=True)]
-            self.cells.append(np.unique(np.concatenate(found)) if found else np.empty(0, np.int64))
+    def __init__(self, told: list[str], unit: int, bits: int):
+        self.bits, self.cells = bits, [c.told(path, unit, [])[0] for path in told]
 
     def mask(self, both: list[np.ndarray]) -> np.ndarray:
         held = np.ones(len(both[0]), bool)
         for have, h in zip(self.cells, both, strict=False):
             some = np.flatnonzero(held)
-            held[some] = _member(have, _cells(h[some], self.width))
+            held[some] = c.member(have, _cells(h[some], self.bits)) >= 0
         return held
 
 
-def _member(have: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    if not len(have):
-        return np.zeros(len(asked), bool)
-    at = np.searchsorted(have, asked)
-    at[at == len(have)] = 0
-    return have[at] == asked
+def _ask_cells(window: int, bits: int, told: list[str]):
+    """The unit's sketch: cells of the next row, for the windows that the rows before let pass, and whether they were touched again."""
+    row = len(told)
+
+    def leaf(unit: c.Unit):
+        repeated, held = _Repeated(told, unit.unit, bits), [np.empty(0, np.int64)]
+        for _, data, at in unit.slices():
+            both = _hashes(data, at, window)[3]
+            held.append(_cells(both[row][repeated.mask(both)], bits))
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        return cell, [np.minimum(n, 2).astype(np.uint8)]
+
+    return leaf
 
 
-def _first_ids(h: np.ndarray, g: np.ndarray, doc: np.ndarray):
+def _merge_cells(shard, keys, values, of):
+    """The sum of the units' sketches; of a cell, 2 and more are the same."""
+    low = int(keys.min())
+    sketch = np.bincount(keys - low, values[0])
+    return sketch[keys - low] > 1, []
+
+
+def first_ids(h: np.ndarray, g: np.ndarray, doc: np.ndarray):
     """Distinct keys with their smallest document, and whether they have a later one too."""
+    _, at = c.groups(g, h)
     order = np.lexsort((doc, g, h))
     h, g, doc = h[order], g[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(h)) - 1
+    last = np.append(at, len(h))[1:] - 1
     return h[at], g[at], doc[at], doc[last] > doc[at]
 
 
-def _send_keys(window: int, width: tuple[int, int], told: list[str], shards: int):
-    def send(split: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, g, doc, more = _first_ids(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-        cut = np.flatnonzero(np.diff(shard, prepend=-1))
-        ends = [*cut[1:], len(h)]
-        n = len(cut)
-        yield c.table(shard=pa.array(shard[cut]), _split=[split] * n, **{k: pa.array([c.planes(v[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()) for k, v in (("h", h), ("g", g), ("doc", doc), ("more", more))})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, last, repeated = [], 0, None, None
-        for split, batch in c.by_split(batches):
-            if n and (split != last or n > FLUSH):
-                yield from send(last, held)
-                held, n = [], 0
-            if split != last:
-                last, repeated = split, _Repeated(told, split, width)
-            _, _, row, both = _hashes(batch, window)
+def _key(both: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return (both[0] >> np.uint64(64 - c.BITS)).astype(np.int64), (both[1] >> np.uint64(32)).astype(np.uint32)
+
+
+def _ask_keys(window: int, bits: int, told: list[str]):
+    def leaf(unit: c.Unit):
+        repeated, held = _Repeated(told, unit.unit, bits), []
+        for rows, data, at in unit.slices():
+            _, _, row, both = _hashes(data, at, window)
             some = np.flatnonzero(repeated.mask(both))
-            if len(some):
-                held.append((both[0][some], (both[1][some] >> np.uint64(32)).astype(np.uint32), c.ids(batch)[row[some]]))
-                n += len(some)
-        if n:
-            yield from send(last, held)
+            h, g = _key([x[some] for x in both])
+            held.append((h, g, unit.ids[rows][row[some]]))
+        h, g, doc, more = first_ids(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return h, [g, doc, more]
 
-    return run
+    return leaf
 
 
-def _merge_keys(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each split gets the first document of those of its keys that have a later document in it."""
-    parts = [(c.unplanes(r.h, "<u8"), c.unplanes(r.g, "<u4"), c.unplanes(r.doc, "<i8"), c.unplanes(r.more, bool)) for r in pdf.itertuples()]
-    h, g, doc, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-    of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    order = np.lexsort((doc, g, h))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+def _merge_keys(shard, keys, values, of):
+    """Each unit is told the first document of those of its keys that have a later document in it."""
+    g, doc, more = values
+    order = np.lexsort((doc, g, keys))
+    _, start = c.groups(g, keys)
     least = np.empty_like(doc)
-    least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    told = more | (least < doc)
-    out = []
-    for i, split in enumerate(pdf["_split"]):
-        own = np.flatnonzero(told & (of == i))
-        if len(own):
-            out.append((split, *(c.planes(v[own]) for v in (h, g, least))))
-    return pd.DataFrame(out, columns=["_split", "h", "g", "doc"])
+    least[order] = np.repeat(doc[order][start], np.diff(np.append(start, len(keys))))
+    return more | (least < doc), [g, least]
 
 
 class _Earlier:
-    """First documents of the keys of one split."""
+    """First documents of the keys of one unit."""
 
-    def __init__(self, path: str, split: str):
-        answer = c.delivered(path, split, ["h", "g", "doc"])
-        if answer is None:
-            self.h = np.empty(0, np.uint64)
-            return
-        h, g, doc = (np.concatenate([c.unplanes(x, kind) for x in answer.column(k).to_pylist()]) for k, kind in (("h", "<u8"), ("g", "<u4"), ("doc", "<i8")))
-        self.h, self.g, self.doc, _ = _first_ids(h, g, doc)
+    def __init__(self, path: str, unit: int):
+        self.h, (self.g, self.doc) = c.told(path, unit, ["<u4", "<i8"])
 
     def mask(self, both: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+        h, g = _key(both)
         out = np.zeros(len(doc), bool)
-        some = np.flatnonzero(_member(self.h, both[0]))
-        g, own = (both[1][some] >> np.uint64(32)).astype(np.uint32), doc[some]
-        at = np.searchsorted(self.h, both[0][some])
-        hit = (self.g[at] == g) & (self.doc[at] < own) if len(some) else np.zeros(0, bool)
-        # keys that share their first 64 bits with another key stand next to it
-        for i in np.flatnonzero(self.g[at] != g) if len(some) else ():
+        at = c.member(self.h, h)
+        some = np.flatnonzero(at >= 0)
+        at, g, own = at[some], g[some], doc[some]
+        hit = (self.g[at] == g) & (self.doc[at] < own)
+        # keys that share their first bits with another key stand next to it
+        for i in np.flatnonzero(self.g[at] != g):
             j = at[i]
-            while j < len(self.h) and self.h[j] == both[0][some[i]]:
+            while j < len(self.h) and self.h[j] == h[some[i]]:
                 hit[i] |= self.g[j] == g[i] and self.doc[j] < own[i]
                 j += 1
         out[some] = hit
@@ -213,49 +141,42 @@ class _Earlier:
 
 
 def _apply(window: int, path: str, with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, earlier = None, None
-        for split, batch in c.by_split(batches):
-            if split != last:
-                last, earlier = split, _Earlier(path, split)
-            first, where, row, both = _hashes(batch, window)
-            gone = c.covered(where[earlier.mask(both, c.ids(batch)[row])], window, int(first[-1]))
-            removed = np.add.reduceat(np.append(gone, False), np.minimum(first[:-1], len(gone))) if len(first) > 1 else np.empty(0)
-            removed = np.where(np.diff(first) > 0, removed, 0).astype(np.int64)
+    def work(unit: c.Unit) -> Iterator[pa.RecordBatch]:
+        earlier = _Earlier(path, unit.unit)
+        for rows, data, at in unit.slices():
+            first, where, row, both = _hashes(data, at, window)
+            gone = c.covered(where[earlier.mask(both, unit.ids[rows][row])], window, int(first[-1]))
+            total = np.concatenate([[0], np.cumsum(gone)])
+            removed = total[first[1:]] - total[first[:-1]]
             kept = []
-            for i, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-                own = (text or "").encode().split()
+            for i in range(len(at) - 1):
+                own = data[at[i] : at[i + 1]].tobytes().split()
                 kept.append(b" ".join(compress(own, ~gone[first[i] : first[i + 1]]) if removed[i] else own))
-            out = {"doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), "n_words": np.diff(first).astype(np.int64), "n_removed": removed}
-            out |= {"kept": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {"kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
+            out = {"doc_id": unit.doc_id[rows], "n_words": np.diff(first).astype(np.int64), "n_removed": removed.astype(np.int64)}
+            out |= {"kept": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {"kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
             yield c.table(**out)
 
-    return run
+    return c.each_unit(work)
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True, fan: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of each document: as text, or only their SHA-256.
 
     A null or empty text has no words. A null doc_id sorts after all others, so such documents lose
     what any other holds and take nothing away. Documents with the same doc_id don't dedupe each other.
     Rows may repeat and docs may have further columns (also of the names made here): only doc_id and text
-    are read. An empty table gives an empty result.
+    are read. An empty table gives an empty result. ``fan``: shards that a unit sends to directly.
     """
-    docs = c.with_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = max(1 << 12, size * CELLS_PER_WORD // 6)
-    width = (w := max(1, min(MAX_SHARDS, cells >> 22)), -(-cells // w))
-    shards = max(1, min(MAX_SHARDS, size >> 22))
-
-    told: list[str] = []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shards = c.shard_count(docs)
+    bits = min(48, max(12, (shards * c.SHARD_BYTES * CELLS_PER_BYTE).bit_length()))
+    packed, told = c.units(docs, "op1-units"), []
     for _ in range(ROWS):
-        asked = docs.mapInArrow(_send_cells(window, width, list(told)), ASK)
-        told.append(c.deliver(asked.groupBy("shard").applyInPandas(_merge_cells(width), "_split string, shard int, cells binary"), "op1-cells", docs))
-    keys = docs.mapInArrow(_send_keys(window, width, told, shards), "shard int, _split string, h binary, g binary, doc binary, more binary")
-    found = c.deliver(keys.groupBy("shard").applyInPandas(_merge_keys, "_split string, h binary, g binary, doc binary"), "op1-keys", docs)
-    c.drop_path(docs.sparkSession, *told)
+        told.append(c.ask(packed, _ask_cells(window, bits, list(told)), ["<u1"], _merge_cells, shards, "op1-cells", bits, fan))
+    found = c.ask(packed, _ask_keys(window, bits, told), KEY, _merge_keys, shards, "op1-keys", fan=fan)
+    c.drop_told(docs.sparkSession, *told)
     kept = "kept string" if with_text else "kept_sha256 string"
-    return docs.mapInArrow(_apply(window, found, with_text), f"doc_id long, n_words long, n_removed long, {kept}")
+    return packed.mapInArrow(_apply(window, found, with_text), f"doc_id long, n_words long, n_removed long, {kept}")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

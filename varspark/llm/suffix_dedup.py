@@ -4,17 +4,18 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
 
 1. Every string of ``length`` bytes owns an anchor: its leftmost smallest hashed gram of ``GRAM`` bytes.
    Equal strings own equal anchors at equal offsets, and neighbouring strings mostly share theirs,
-   so there are few anchors. Each split sends its distinct anchors with counts to shards; a shard
-   answers the splits that hold an anchor found at least twice in all.
-2. Of those anchors, splits send the bytes of the strings they own. A shard sorts the suffixes at
+   so there are few anchors. Each unit asks shards about its distinct anchors; a shard
+   answers the units that hold an anchor found at least twice in all.
+2. Of those anchors, units send the bytes of the strings they own. A shard sorts the suffixes at
    the anchors: mergesort, where a comparison finds the common extension by binary search over
    prefix polynomial hashes. Sorted neighbours give each string's longest match; extensions to the left
    are found the same way. Where neighbours don't settle all strings of an anchor, the strings themselves
-   are compared by hash. Every match is verified byte by byte.
-3. Anchors found more than ``HOT`` times never meet in one task: their strings are counted by 128 bits of hash,
-   combined per split before the shuffle.
+   are compared by hash. Every match is verified byte by byte, against collisions.
+3. Anchors found more than ``HOT`` times (a passage that a third of all documents hold) never meet in one task: their strings are
+   counted one by one, combined per unit before the shuffle, by polynomial hash; there, a collision-resistant digest (BLAKE2b, 128 bits)
+   of each string stands for the comparison byte by byte, since no task could hold the strings.
 
-Texts are read three times and never shuffled as a whole.
+Texts are never shuffled as a whole.
 """
 
 from __future__ import annotations
@@ -23,19 +24,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
-from .lm_score import _cuts, shard_of
 
 GRAM = 64
-HOT = 256  # an anchor found more often never has its spans gathered in one task
-SHARD_BYTES = 1 << 22
-MAX_SHARDS = 1 << 16
-SPANS = 1 << 22  # bytes of spans that a task gathers before it sends them
+HOT = 1024  # an anchor found more often never has its spans gathered in one task
 PIECE = 1 << 19  # bytes of spans that are sorted at once (one anchor may have more)
 
 
@@ -83,175 +79,115 @@ def anchors(data: np.ndarray, at: np.ndarray, prefix: np.ndarray, length: int, g
 
 
 class _Slice:
-    """A batch with its anchors; docs are known by a hash of doc_id and text, so equal rows share their findings."""
+    """A run of a unit's rows with its anchors."""
 
-    def __init__(self, batch: pa.RecordBatch, length: int, gram: int):
-        self.data, self.at = c.text_buffer(batch)
-        self.prefix = c.prefix_hash(c.BYTE[0][self.data], 2)
-        body = c.range_hash(self.prefix, self.at[:-1], self.at[1:], 2)
-        self.key = c.mix(c.mix(body + c.ids(batch).astype(np.uint64) * c.ODD[6]) + np.diff(self.at).astype(np.uint64))
-        self.p, least, self.lo, self.hi = anchors(self.data, self.at, self.prefix, length, gram)
-        self.hash = c.mix(least ^ c.ODD[5])  # minima are small numbers; mixed, they spread over all shards
-        self.doc = np.searchsorted(self.at, self.p, "right") - 1
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, gram: int):
+        self.data, self.at = data, at
+        self.prefix = c.prefix_hash(c.BYTE[0][data], 2)
+        self.p, least, self.lo, self.hi = anchors(data, at, self.prefix, length, gram)
+        # minima are small numbers; mixed, they spread over all shards
+        self.hash = (c.mix(least ^ c.ODD[5]) >> np.uint64(64 - c.BITS)).astype(np.int64)
+        self.doc = np.searchsorted(at, self.p, "right") - 1
 
     def strings(self, some: np.ndarray, length: int):
         """All starts of the strings that own the anchors some, with two hashes."""
         n = self.hi[some] - self.lo[some] + 1
         start = np.repeat(self.lo[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         other = c.prefix_hash(c.BYTE[1][self.data], 3)
-        return start, c.mix(c.range_hash(self.prefix, start, start + length, 2)), c.mix(c.range_hash(other, start, start + length, 3))
+        h = c.mix(c.range_hash(self.prefix, start, start + length, 2)) >> np.uint64(64 - c.BITS)
+        return start, h.astype(np.int64), c.mix(c.range_hash(other, start, start + length, 3))
 
 
-def _lookup(have: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Positions in the sorted array have, -1 where missing."""
-    if not len(have):
-        return np.full(len(asked), -1)
-    at = np.minimum(np.searchsorted(have, asked), len(have) - 1)
-    return np.where(have[at] == asked, at, -1)
+# ---------------------------------------------------------------- which anchors are repeated
 
 
-# ---------------------------------------------------------------- which anchors are repeated
+def _ask_anchors(length: int, gram: int):
+    def leaf(unit: c.Unit):
+        h, n = np.unique(np.concatenate([_Slice(data, at, length, gram).hash for _, data, at in unit.slices()]), return_counts=True)
+        return h, [n.astype(np.uint32)]
 
+    return leaf
 
-def _send_anchors(length: int, gram: int, shards: int):
-    def send(split, held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        shard = shard_of(h, shards)
-        cut = _cuts(shard)
-        return c.table(shard=pa.array(shard[[a for a, _ in cut]], pa.int32()), _split=[split] * len(cut), h=pa.array([c.planes(h[a:b]) for a, b in cut], pa.binary()), n=pa.array([c.planes(n[a:b].astype(np.uint32)) for a, b in cut], pa.binary()))
-
-    def run(batches):
-        held, last = [], None
-        for split, batch in c.by_split(batches):
-            if held and split != last:
-                yield send(last, held)
-                held = []
-            last = split
-            own = _Slice(batch, length, gram).hash
-            if len(own):
-                held.append(own)
-        if held:
-            yield send(last, held)
 
-    return run
+def _merge_anchors(hot: int):
+    """Answers with the anchors found twice or more, and whether more than ``hot`` times."""
 
+    def merge(shard, keys, values, of):
+        order, start = c.groups(keys)
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(np.add.reduceat(values[0][order].astype(np.int64), start), np.diff(np.append(start, len(keys))))
+        return total > 1, [total > hot]
 
-def _merge_counts(hot: int, with_second: bool = False):
-    """Answers with the keys counted twice or more, and whether more than ``hot`` times."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [c.unplanes(x, "<u8") for x in pdf["h"]]
-        second = [c.unplanes(x, "<u8") for x in pdf["g"]] if with_second else [np.zeros_like(x) for x in parts]
-        h, g, n = np.concatenate(parts), np.concatenate(second), np.concatenate([c.unplanes(x, "<u4") for x in pdf["n"]]).astype(np.int64)
-        of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        order = np.lexsort((g, h))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-        total = np.empty(len(h), np.int64)
-        total[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        out = []
-        for i, split in enumerate(pdf["_split"]):
-            own = np.flatnonzero((of == i) & (total > 1))
-            if len(own):
-                out.append((split, c.planes(h[own]), c.planes(g[own]), np.packbits(total[own] > hot).tobytes()))
-        return pd.DataFrame(out, columns=["_split", "h", "g", "hot"])
+    return merge
 
-    return run
 
+# ---------------------------------------------------------------- strings of repeated anchors
 
-ANSWER = "_split string, h binary, g binary, hot binary"
+SPAN = "shard long, h long, unit long, row long, lo long, p long, hi long, body binary"
 
 
-def _answers(path: str, split: str):
-    """Sorted keys of a split's answers, their second hashes and hot flags."""
-    answer = c.delivered(path, split, ["h", "g", "hot"])
-    if answer is None or not answer.num_rows:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
-    h, g, hot = [], [], []
-    for row in answer.to_pylist():
-        h.append(c.unplanes(row["h"], "<u8"))
-        g.append(c.unplanes(row["g"], "<u8"))
-        hot.append(np.unpackbits(np.frombuffer(row["hot"], np.uint8))[: len(h[-1])].astype(bool))
-    h, g, hot = np.concatenate(h), np.concatenate(g), np.concatenate(hot)
-    order = np.argsort(h, kind="stable")
-    return h[order], g[order], hot[order]
+def _send_spans(length: int, gram: int, shards: int, path: str):
+    """A row for each repeated anchor: the strings that own it start at lo..hi of the unit's row, the anchor at p; body has their bytes."""
+
+    def work(unit: c.Unit) -> Iterator[pa.RecordBatch]:
+        known, (hot,) = c.told(path, unit.unit, ["?"])
+        known = known[~hot]
+        for rows, data, at in unit.slices() if len(known) else ():
+            s = _Slice(data, at, length, gram)
+            some = np.flatnonzero(c.member(known, s.hash) >= 0)
+            if len(some):
+                size = s.hi[some] - s.lo[some] + length
+                offsets = np.concatenate([[0], np.cumsum(size)])
+                taken = data[np.repeat(s.lo[some] - offsets[:-1], size) + np.arange(offsets[-1])]
+                body = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken)])
+                base = at[s.doc[some]]
+                yield c.table(shard=c.shard_of(s.hash[some], shards), h=s.hash[some], unit=np.full(len(some), unit.unit), row=s.doc[some] + rows.start, lo=s.lo[some] - base, p=s.p[some] - base, hi=s.hi[some] - base, body=body)
 
+    return c.each_unit(work)
 
-# ---------------------------------------------------------------- strings of repeated anchors
 
+def _digests(data: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
+    raw = data.tobytes()
+    both = np.frombuffer(b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in start.tolist()), "<u8").reshape(-1, 2)
+    return [both[:, 0].copy(), both[:, 1].copy()]
 
-def _send_spans(length: int, gram: int, shards: int, path: str):
-    """Rows (shard, _split, kind): kind 0 has the bytes of the strings that own an anchor, kind 1 hashes of the strings of hot ones."""
 
-    def pack(split, held):
-        h, key, lo, p, hi, size = (np.concatenate(x) for x in zip(*(x[:6] for x in held), strict=True))
-        data = np.concatenate([x[6] for x in held])
-        at = np.cumsum(size) - size
-        order = np.argsort(h, kind="stable")
-        shard = shard_of(h[order], shards)
-        out = []
-        for a, b in _cuts(shard):
-            own = order[a:b]
-            body = np.concatenate([data[at[i] : at[i] + size[i]] for i in own])
-            out.append((int(shard[a]), split, b"".join(c.planes(x[own].astype(np.uint64)) for x in (h, key, lo, p, hi, size)), body.tobytes()))
-        shard, splits, heads, bodies = zip(*out, strict=True)
-        return c.table(shard=pa.array(shard, pa.int32()), _split=list(splits), head=pa.array(heads, pa.binary()), body=pa.array(bodies, pa.binary()))
-
-    def run(batches):
-        held, n, last, known = [], 0, None, None
-        for split, batch in c.by_split(batches):
-            if held and (split != last or n > SPANS):
-                yield pack(last, held)
-                held, n = [], 0
-            if split != last:
-                last, known = split, _answers(path, split)
-            s = _Slice(batch, length, gram)
-            at = _lookup(known[0], s.hash)
-            some = np.flatnonzero((at >= 0) & ~known[2][at]) if len(known[0]) else np.empty(0, np.int64)
-            if len(some):
-                size = s.hi[some] - s.lo[some] + length
-                start = np.repeat(s.lo[some] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                base = s.at[s.doc[some]]
-                held.append((s.hash[some], s.key[s.doc[some]], s.lo[some] - base, s.p[some] - base, s.hi[some] - base, size, s.data[start]))
-                n += int(size.sum())
-        if held:
-            yield pack(last, held)
+def _hot_strings(unit: c.Unit, length: int, gram: int, known: np.ndarray):
+    """(rows, starts, distinct hash and digest of each start) of the strings of hot anchors, slice by slice."""
+    for rows, data, at in unit.slices() if len(known) else ():
+        s = _Slice(data, at, length, gram)
+        some = np.flatnonzero(c.member(known, s.hash) >= 0)
+        if len(some):
+            start, h, g = s.strings(some, length)
+            order, first = c.groups(g, h)
+            which = np.empty(len(h), np.int64)
+            which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            one = order[first]
+            yield rows, start, which, h[one], _digests(data, start[one], length), np.diff(np.append(first, len(h)))
 
-    return run
 
+def _ask_strings(length: int, gram: int, path: str):
+    """The strings of hot anchors: polynomial hash, BLAKE2b digest and count of each."""
 
-def _send_hot(length: int, gram: int, shards: int, path: str):
-    def send(split, held):
-        h, g = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((g, h))
-        h, g = h[order], g[order]
-        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
-        n = np.diff(np.append(new, len(h))).astype(np.uint32)
-        h, g, shard = h[new], g[new], shard_of(h[new], shards)
-        cut = _cuts(shard)
-        return c.table(shard=pa.array(shard[[a for a, _ in cut]], pa.int32()), _split=[split] * len(cut), **{k: pa.array([c.planes(x[a:b]) for a, b in cut], pa.binary()) for k, x in (("h", h), ("g", g), ("n", n))})
-
-    def run(batches):
-        held, n, last, known = [], 0, None, None
-        for split, batch in c.by_split(batches):
-            if held and (split != last or n > 1 << 20):
-                yield send(last, held)
-                held, n = [], 0
-            if split != last:
-                last, known = split, _answers(path, split)
-            if not known[2].any():
-                continue
-            s = _Slice(batch, length, gram)
-            at = _lookup(known[0], s.hash)
-            some = np.flatnonzero((at >= 0) & known[2][at])
-            if len(some):
-                _, h, g = s.strings(some, length)
-                held.append((h, g))
-                n += len(h)
-        if held:
-            yield send(last, held)
+    def leaf(unit: c.Unit):
+        known, (hot,) = c.told(path, unit.unit, ["?"])
+        got = [(h, *d, n) for _, _, _, h, d, n in _hot_strings(unit, length, gram, known[hot])]
+        if not got:
+            return np.empty(0, np.int64), []
+        h, d, e, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        order, first = c.groups(e, d, h)
+        one = order[first]
+        return h[one], [d[one], e[one], np.add.reduceat(n[order], first).astype(np.uint32)]
 
-    return run
+    return leaf
+
+
+def _merge_strings(shard, keys, values, of):
+    d, e, n = values
+    order, start = c.groups(e, d, keys)
+    total = np.empty(len(keys), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), start), np.diff(np.append(start, len(keys))))
+    return total > 1, [d, e]
 
 
 # ---------------------------------------------------------------- the suffix sort
@@ -389,15 +325,12 @@ def _compare_strings(s: Suffixes, raw: bytes, group, pos, start, last, own, leng
 
 
 def _merge_spans(length: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads = [np.frombuffer(x, np.uint8).reshape(6, -1) for x in pdf["head"]]
-        h, key, lo, p, hi, size = (np.concatenate([c.unplanes(x[i].tobytes(), "<u8") for x in heads]) for i in range(6))
-        lo, p, hi, size = (x.astype(np.int64) for x in (lo, p, hi, size))
-        of = np.repeat(np.arange(len(heads)), [x.shape[1] // 8 for x in heads])
-        data = np.frombuffer(b"".join(pdf["body"]), np.uint8)
+    def run(spans: pa.Table) -> pa.Table:
+        h, unit, row, lo, p, hi = (spans.column(k).to_numpy() for k in ("h", "unit", "row", "lo", "p", "hi"))
+        data, offsets = c.bytes_of(spans.column("body"))
         order = np.argsort(h, kind="stable")
-        span = (np.cumsum(size) - size)[order]
-        h, key, lo, p, hi, size, of = (x[order] for x in (h, key, lo, p, hi, size, of))
+        span, size = offsets[:-1][order], np.diff(offsets)[order]
+        h, unit, row, lo, p, hi = (x[order] for x in (h, unit, row, lo, p, hi))
         group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
         # groups are independent: a few at a time bound the memory of prefix hashes
         ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
@@ -411,12 +344,11 @@ def _merge_spans(length: int):
             piece = data[np.repeat(span[a:b] - own, n) + np.arange(int(n.sum()))]
             found += [(a + x, near, far) for x, near, far in _matches(Suffixes(piece), group[a:b], own + p[a:b] - lo[a:b], own, own + hi[a:b] - lo[a:b], own + n, length)]
             a = b
-        if not found:
-            return pd.DataFrame({"_split": [], "key": [], "start": [], "stop": []})
-        x, near, far = (np.array(v) for v in zip(*found, strict=True))
-        out = pd.DataFrame({"of": of[x], "key": key[x], "start": p[x] - far, "stop": p[x] - near + length})
-        rows = [(pdf["_split"].iloc[i], *(c.planes(part[k].to_numpy()) for k in ("key", "start", "stop"))) for i, part in out.drop_duplicates().groupby("of")]
-        return pd.DataFrame(rows, columns=["_split", "key", "start", "stop"])
+        x, near, far = (np.array(v, np.int64) for v in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        order, first = c.groups(p[x] - near, p[x] - far, row[x], unit[x])
+        one = order[first]
+        x, near, far = x[one], near[one], far[one]
+        return pa.table({"unit": unit[x], "row": row[x], "start": p[x] - far, "stop": p[x] - near + length})
 
     return run
 
@@ -425,67 +357,60 @@ def _merge_spans(length: int):
 
 
 def _apply(length: int, gram: int, spans: str, asked: str, hot: str, with_bytes: bool):
-    def run(batches):
-        last = None
-        for split, batch in c.by_split(batches):
-            if split != last:
-                last = split
-                answer = c.delivered(spans, split, ["key", "start", "stop"])
-                key, start, stop = (np.concatenate([c.unplanes(x, kind) for x in answer.column(k).to_pylist()]) if answer is not None and answer.num_rows else np.empty(0, kind) for k, kind in (("key", "<u8"), ("start", "<i8"), ("stop", "<i8")))
-                order = np.argsort(key, kind="stable")
-                key, start, stop = key[order], start[order], stop[order]
-                known = _answers(asked, split)
-                twice = _answers(hot, split)
-            s = _Slice(batch, length, gram)
-            edge = np.zeros(len(s.data) + 1, np.int32)
-            for i in np.flatnonzero(_lookup(key, s.key) >= 0):
-                a, b = np.searchsorted(key, s.key[i]), np.searchsorted(key, s.key[i], "right")
-                np.add.at(edge, s.at[i] + start[a:b], 1)
-                np.add.at(edge, s.at[i] + stop[a:b], -1)
-            if known[2].any():
-                at = _lookup(known[0], s.hash)
-                some = np.flatnonzero((at >= 0) & known[2][at])
-                if len(some):
-                    where, h, g = s.strings(some, length)
-                    at = _lookup(twice[0], h)
-                    hit = where[(at >= 0) & (twice[1][at] == g)] if len(twice[0]) else where[:0]
-                    np.add.at(edge, hit, 1)
-                    np.add.at(edge, hit + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            out, spans_n, removed = [], [], []
-            for i in range(batch.num_rows):
-                own = gone[s.at[i] : s.at[i + 1]]
-                removed.append(int(own.sum()))
-                spans_n.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if removed[-1] else 0)
-                text = s.data[s.at[i] : s.at[i + 1]]
-                out.append((text[~own] if removed[-1] else text).tobytes())
-            yield c.table(
-                doc_id=batch.column(batch.schema.get_field_index("doc_id")), n_bytes=np.diff(s.at), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans_n, pa.int64()),
-                kept=pa.array(out if with_bytes else [hashlib.sha256(x).hexdigest() for x in out], pa.binary() if with_bytes else pa.string()),
-            )
-
-    return run
-
-
-def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT, with_bytes: bool = True) -> DataFrame:
+    def work(unit: c.Unit) -> Iterator[pa.RecordBatch]:
+        found = c.delivered(spans, unit.unit, ["row", "start", "stop"], "unit")
+        row, start, stop = (np.empty(0, np.int64) if found is None else found.column(k).to_numpy() for k in ("row", "start", "stop"))
+        edge = np.zeros(len(unit.data) + 1, np.int32)
+        np.add.at(edge, unit.at[row] + start, 1)
+        np.add.at(edge, unit.at[row] + stop, -1)
+        known, (flag,) = c.told(asked, unit.unit, ["?"])
+        if flag.any():
+            twice = {x for x in zip(*(v.tolist() for v in _flat(c.told(hot, unit.unit, ["<u8", "<u8"]))), strict=True)}
+            for rows, starts, which, h, (d, e), _ in _hot_strings(unit, length, gram, known[flag]):
+                again = np.fromiter((x in twice for x in zip(h.tolist(), d.tolist(), e.tolist(), strict=True)), bool, len(h))
+                hit = starts[again[which]] + unit.at[rows.start]
+                np.add.at(edge, hit, 1)
+                np.add.at(edge, hit + length, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        out, spans_n, removed = [], [], []
+        for i in range(unit.n):
+            own = gone[unit.at[i] : unit.at[i + 1]]
+            removed.append(int(own.sum()))
+            spans_n.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if removed[-1] else 0)
+            text = unit.data[unit.at[i] : unit.at[i + 1]]
+            text = (text[~own] if removed[-1] else text).tobytes()
+            out.append(text if with_bytes else hashlib.sha256(text).hexdigest())
+        yield c.table(
+            doc_id=unit.doc_id, n_bytes=np.diff(unit.at), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans_n, pa.int64()),
+            kept=pa.array(out, pa.binary() if with_bytes else pa.string()),
+        )
+
+    return c.each_unit(work)
+
+
+def _flat(told) -> list[np.ndarray]:
+    keys, values = told
+    return [keys, *values]
+
+
+def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT, with_bytes: bool = True, fan: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept of each document (kept), or only their SHA-256.
 
     Null and empty texts have no bytes. Strings never cross documents; equal rows are documents each
-    and find each other. A null doc_id is a doc_id like others. Only doc_id and text are read.
+    and find each other. A null doc_id is a doc_id like others. Only doc_id and text are read. ``hot``: see the
+    module; it changes the work, not the result. ``fan``: shards that a unit sends to directly.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be from 1 to length")
-    docs = c.with_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, min(MAX_SHARDS, size // SHARD_BYTES))
-    counted = docs.mapInArrow(_send_anchors(length, gram, shards), "shard int, _split string, h binary, n binary")
-    asked = c.deliver(counted.groupBy("shard").applyInPandas(_merge_counts(hot), ANSWER), "op8-anchors", docs)
-    spans = docs.mapInArrow(_send_spans(length, gram, shards, asked), "shard int, _split string, head binary, body binary")
-    found = c.deliver(spans.groupBy("shard").applyInPandas(_merge_spans(length), "_split string, key binary, start binary, stop binary"), "op8-spans", docs)
-    strings = docs.mapInArrow(_send_hot(length, gram, shards, asked), "shard int, _split string, h binary, g binary, n binary")
-    twice = c.deliver(strings.groupBy("shard").applyInPandas(_merge_counts(hot, True), ANSWER), "op8-hot", docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shards = c.shard_count(docs)
+    packed = c.units(docs, "op8-units")
+    asked = c.ask(packed, _ask_anchors(length, gram), ["<u4"], _merge_anchors(hot), shards, "op8-anchors", fan=fan)
+    spans = packed.mapInArrow(_send_spans(length, gram, shards, asked), SPAN)
+    found = c.deliver(spans.groupBy("shard").applyInArrow(_merge_spans(length), "unit long, row long, start long, stop long").select("row", "unit", "start", "stop"), "op8-spans", packed, "unit")
+    twice = c.ask(packed, _ask_strings(length, gram, asked), ["<u8", "<u8", "<u4"], _merge_strings, shards, "op8-hot", fan=fan)
     kept = "kept binary" if with_bytes else "kept string"
-    out = docs.mapInArrow(_apply(length, gram, found, asked, twice, with_bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")
+    out = packed.mapInArrow(_apply(length, gram, found, asked, twice, with_bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")
     return out if with_bytes else out.withColumnRenamed("kept", "kept_sha256")
 
 
