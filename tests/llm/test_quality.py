@@ -1,12 +1,14 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from varspark.llm.quality_rules import op4_quality_rules, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, min_docs=20, share=0.01):
+def brute(rows, min_docs=20, share=0.01, max_docs=1000):
     """rows: (doc_id, text, host)."""
     norm = lambda line: re.sub("[0-9]+", "0", " ".join(WORD.findall(line)).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     docs, hosts = Counter(), Counter(h for *_, h in rows)
@@ -24,7 +26,7 @@ def brute(rows, min_docs=20, share=0.01):
             if WORD.search(line):
                 dup += line in seen
                 seen.add(line)
-                if docs[h, norm(line)] > max(min_docs, share * hosts[h]):
+                if docs[h, norm(line)] > min(max(min_docs, share * hosts[h]), max_docs):
                     removed += len(WORD.findall(line))
         failed = len(w) < 10 or 100 * len(gone) > 20 * len(w)
         left = len(w) - removed
@@ -51,3 +53,13 @@ def test_edge_rows(spark):
     assert out == brute(rows, 3, 0.1)
     assert any(r[8] for r in out) and any(r[6] for r in out)
     assert got(quality_rules(df.where("false"))) == []
+    low = got(quality_rules(df, min_docs=3, share=0.9, max_docs=5))
+    assert low == brute(rows, 3, 0.9, 5) and low != got(quality_rules(df, min_docs=3, share=0.9))
+
+
+def test_lines_of_random_bytes(spark):
+    rng = np.random.default_rng(0)
+    pieces = ["a", "B", "7", "88", " ", "\t", "\n", "\n\n", "é", "\r", "x1y22", "\x0b"]
+    rows = [(i, "".join(rng.choice(pieces, rng.integers(0, 60))), f"h{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert got(quality_rules(df, min_docs=4, share=0.0, min_words=1)) == [(*r[:8], not r[7] and r[1] - r[6] >= 1 and r[1] - r[6] >= 0.5 * r[1]) for r in brute(rows, 4, 0.0)]
