@@ -1,12 +1,16 @@
 """Toxicity by weak supervision.
 
-1. Features are words and word beginnings (4 to 8 bytes). Over all labelled training documents, Spark
-   counts in how many, and in how many toxic ones, each feature stands; the most telling ones are kept.
-2. On a bounded sample of training rows, many voters vote: a lexicon voter for each of the telling
-   features, pattern voters, and the given label as a voter of its own.
-3. A generative label model estimates by EM how often each voter votes on toxic and on other
-   documents, and how voters correlate given the class; correlated voters share their weight.
-4. A linear classifier is trained on the posterior labels, and scores every document's whole text.
+1. Voters. General voters don't know any label: each word of a small lexicon of insults, and patterns (bursts of ! and ?, shouting, symbols,
+   repetition, a high share of rare beginnings of words). Since the corpus has languages without such a lexicon, further lexicon voters
+   are mined: labelled training rows are dealt to two folds, features (words and word beginnings) that tell most are counted in Spark over all
+   rows of a fold, and vote on the rows of the *other* fold only. A voter says toxic where a text holds its feature
+   more often than the corpus lets expect, and else abstains.
+2. A generative label model of each fold's votes: the class, and for each voter a table of its votes given the class and one other voter (the
+   maximum spanning tree of the voters' mutual information given the class), so that correlations are factors of the model. EM fits it to the
+   votes alone; labels only say which of its classes is the toxic one.
+3. A linear classifier is trained on the posterior labels, and scores every document's whole text.
+
+The label model and the classifier see a bounded sample of rows (``SAMPLE``); all counts cover all labelled rows.
 """
 
 from __future__ import annotations
@@ -14,180 +18,246 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
-from .decontaminate import tokens
-from .lm_score import _combine, _cuts, shard_of
 
-FEATURES = 400  # features kept
-LEAST_DOCS = 8  # labelled documents that a feature must stand in
+FEATURES = 400  # mined features of a fold, those that tell most
+VOTERS = 120  # of them vote, those that tell most of toxic texts
+LEAST_DOCS = 4  # labelled documents of a fold that a feature must stand in
+LEAST_Z = 3.5  # standardised excess of toxic documents that a voter's feature must have
 SAMPLE = 20_000  # labelled rows that the label model and the classifier are fitted on, at most
 HEADS = (4, 5, 6, 7, 8)
-SHARDS = 64
-# A small general lexicon of insults, one voter.
-INSULTS = ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "imbecile", "hate", "kill"]
-
-
-def _hash_text(word: str) -> int:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(c.word_hashes(data, np.array([0]), np.array([len(data)]), 0, lower=True)[0])
+# A small general lexicon of insults, a voter each.
+INSULTS = [
+    "asshole", "bastard", "bitch", "clown", "coward", "creep", "cretin", "crap", "damn", "degenerate", "disgusting", "dumb", "dumbass", "failure", "filth", "fool", "freak", "garbage", "hate", "hideous",
+    "idiot", "idiots", "ignorant", "imbecile", "jerk", "kill", "liar", "loser", "losers", "lunatic", "maggot", "moron", "morons", "nasty", "parasite", "pathetic", "pig", "repulsive", "retard", "scum",
+    "shit", "shut", "sick", "slime", "stupid", "swine", "trash", "ugly", "useless", "vermin", "vile", "weak", "worthless", "wretch",
+    "arschloch", "dumm", "idioten", "dreck", "abschaum", "trottel", "versager", "connard", "salaud", "imbécile", "ordure", "crétin", "nul", "basura", "estúpido", "idiota", "imbécil", "inútil", "asqueroso",
+]
+PATTERNS = ["burst", "shouting", "symbols", "repetition"]
 
 
 def document_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature and row of every occurrence of a word or word beginning, and the words per row."""
     from .decontaminate import _part
 
-    clean = np.where(_part[data], np.uint8(32), data)
-    start, end, first = c.words(clean, at)
+    start, end, first = c.words(np.where(_part[data], np.uint8(32), data), at)
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
     if not len(start):
-        return np.empty(0, np.uint64), row, np.diff(first)
+        return np.empty(0, np.int64), row, np.diff(first)
     prefix = c.prefix_hash(c.BYTE_LOWER[0][data], 0)
     out, rows = [c.mix(c.range_hash(prefix, start, end, 0))], [row]
     for n in HEADS:
         long = np.flatnonzero(end - start > n)
         out.append(c.mix(c.range_hash(prefix, start[long], start[long] + n, 0) + c.ODD[n % 8]))
         rows.append(row[long])
-    return np.concatenate(out), np.concatenate(rows), np.diff(first)
+    return (np.concatenate(out) >> np.uint64(64 - c.BITS)).astype(np.int64), np.concatenate(rows), np.diff(first)
+
+
+def general() -> np.ndarray:
+    """The features of INSULTS, ascending."""
+    word = lambda x: document_features(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0]
+    return np.array(sorted({int(word(x)) for x in INSULTS}))
 
 
-def patterns(data: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Row by pattern voter: bursts of ! or ?, much shouting, many symbols, a very short text, no words."""
-    sums = []
-    upper = (data >= 65) & (data <= 90)
+def patterns(data: np.ndarray, at: np.ndarray, f: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Row by pattern voter: a burst of ! or ?, much shouting, many symbols, one feature that makes up much of the text."""
+    total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
     bang = (data == 33) | (data == 63)
     burst = bang.copy()
     burst[1:] &= bang[:-1]
     burst[:1] = False
-    symbol = np.isin(data, list(b"#*$%&|<>@"))
-    for mask in (burst, upper, symbol):
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(mask, out=total[1:])
-        sums.append(total[at[1:]] - total[at[:-1]])
     size = np.maximum(np.diff(at), 1)
-    return np.stack([sums[0] > 0, sums[1] > 0.3 * size, sums[2] > 0.05 * size, (words > 0) & (words < 20), words == 0], axis=1)
+    order, start = c.groups(f, row)
+    most = np.zeros(len(at) - 1, np.int64)
+    np.maximum.at(most, row[order[start]], np.diff(np.append(start, len(order))))
+    return np.stack([total(burst) > 0, total((data >= 65) & (data <= 90)) > 0.3 * size, total(np.isin(data, list(b"#*$%&|<>@"))) > 0.05 * size, (words > 20) & (most > 0.3 * words)], axis=1)
 
 
-def _labels(path: str, split: str) -> dict[int, int]:
-    got = c.delivered(path, split, ["doc_id", "toxic"])
-    return {} if got is None else dict(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), strict=True))
+# ---------------------------------------------------------------- labelled rows
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], path: str):
-    """(batch of the labelled rows of a split, their labels)."""
+    """Batches of the labelled rows, with whether each is toxic and its fold."""
     last, known = None, {}
     for split, batch in c.by_split(batches):
         if split != last:
-            last, known = split, _labels(path, split)
-        own = [i for i, d in enumerate(batch.column(batch.schema.get_field_index("doc_id")).to_pylist()) if d in known]
+            last, got = split, c.delivered(path, split, ["doc_id", "toxic", "fold"])
+            known = {} if got is None else {d: (t, f) for d, t, f in zip(*(got.column(k).to_pylist() for k in ("doc_id", "toxic", "fold")), strict=True)}
+        doc = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+        own = [i for i, d in enumerate(doc) if d in known]
         if own:
-            part = batch.take(pa.array(own))
-            yield part, np.array([known[d] for d in part.column(part.schema.get_field_index("doc_id")).to_pylist()])
+            toxic, fold = zip(*(known[doc[i]] for i in own), strict=True)
+            yield batch.take(pa.array(own)), np.array(toxic), np.array(fold)
 
 
-def _count(path: str):
+def _count(path: str, shards: int):
+    """In how many documents and in how many toxic ones of each fold the features stand: messages to shards by feature."""
+
+    def send(held):
+        h, *sums = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, start = c.groups(h)
+        h, sums = h[order[start]], [np.add.reduceat(x[order], start).astype(np.uint32) for x in sums]
+        shard = c.shard_of(h, shards)
+        cut = c._cut(shard)
+        return c.table(shard=pa.array([int(shard[a]) for a, _ in cut], pa.int64()), body=pa.array([c.pack(h[a:b], [x[a:b] for x in sums]) for a, b in cut], pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(h, n, t):
-            h, _, n, t = _combine(np.concatenate(h), np.concatenate(n), np.concatenate(t))
-            shard = shard_of(h, SHARDS)
-            cut = _cuts(shard)
-            return c.table(shard=pa.array(shard[[a for a, _ in cut]], pa.int32()), **{k: pa.array([c.planes(x[a:b]) for a, b in cut], pa.binary()) for k, x in (("h", h), ("n", n.astype(np.uint64)), ("t", t.astype(np.uint64)))})
-
-        h, n, t, size = [], [], [], 0
-        for batch, toxic in _labelled(batches, path):
+        held, size = [], 0
+        for batch, toxic, fold in _labelled(batches, path):
             f, row, _ = document_features(*c.text_buffer(batch))
-            order = np.lexsort((f, row))
-            f, row = f[order], row[order]
-            new = np.ones(len(f), bool)
-            new[1:] = (f[1:] != f[:-1]) | (row[1:] != row[:-1])
-            f, _, once, bad = _combine(f[new], np.ones(int(new.sum()), np.uint64), toxic[row[new]].astype(np.uint64))
-            h.append(f)
-            n.append(once)
-            t.append(bad)
+            order, start = c.groups(f, row)
+            f, row = f[order[start]], row[order[start]]
+            held.append((f, *((fold[row] == x) & (toxic[row] >= y) for x in (0, 1) for y in (0, 1))))
             size += len(f)
-            if size > 1 << 21:
-                yield send(h, n, t)
-                h, n, t, size = [], [], [], 0
-        if h:
-            yield send(h, n, t)
+            if size > 1 << 19:
+                yield send(held)
+                held, size = [], 0
+        if held:
+            yield send(held)
 
     return run
 
 
-def _telling(docs: int, toxic: int):
-    """The FEATURES features of a shard that tell most, by their standardised excess of toxic documents."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, n, t = (np.concatenate([c.unplanes(x, "<u8") for x in pdf[k]]) for k in ("h", "n", "t"))
-        h, _, n, t = _combine(h, n, t)
-        keep = n >= LEAST_DOCS
-        h, n, t = h[keep], n[keep].astype(float), t[keep].astype(float)
-        share = toxic / docs
-        z = (t - n * share) / np.sqrt(n * share * (1 - share) + 0.5)
-        best = np.lexsort((h, -np.abs(z)))[:FEATURES]
-        return pd.DataFrame({"h": h[best].astype(np.int64), "z": z[best]})
+def _telling(docs: list[int], toxic: list[int]):
+    """The features of a shard that tell most in either fold, by their standardised excess of toxic documents."""
+
+    def run(messages: pa.Table) -> pa.Table:
+        got = [c.unpack(x, ["<u4"] * 4) for x in messages.column("body").to_pylist()]
+        h = np.concatenate([k for k, _ in got])
+        order, start = c.groups(h)
+        sums = [np.add.reduceat(np.concatenate([v[i] for _, v in got])[order], start).astype(float) for i in range(4)]
+        h = h[order[start]]
+        out = []
+        for fold in (0, 1):
+            n, t = sums[2 * fold : 2 * fold + 2]
+            share = toxic[fold] / max(1, docs[fold])
+            z = np.where(n >= LEAST_DOCS, (t - n * share) / np.sqrt(n * share * (1 - share) + 0.5), 0)
+            best = np.lexsort((h, -np.abs(z)))[:FEATURES]
+            best = best[np.abs(z[best]) > 1]
+            out.append(pa.table({"fold": np.full(len(best), fold), "h": h[best], "z": z[best]}))
+        return pa.concat_tables(out)
 
     return run
 
 
 def counts(f: np.ndarray, row: np.ndarray, rows: int, known: np.ndarray) -> np.ndarray:
-    """Occurrences of the known features (sorted hashes) in each row."""
+    """Occurrences of the known features (ascending) in each row."""
     out = np.zeros((rows, len(known)), np.float32)
-    if len(known) and len(f):
-        at = np.minimum(np.searchsorted(known, f), len(known) - 1)
-        hit = known[at] == f
-        out += np.bincount(row[hit] * len(known) + at[hit], minlength=out.size).reshape(out.shape)
+    at = c.member(known, f)
+    hit = at >= 0
+    out += np.bincount(row[hit] * len(known) + at[hit], minlength=out.size).reshape(out.shape) if len(known) else 0
     return out
 
 
 def _sample(path: str, known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        insults = np.array(sorted(map(_hash_text, INSULTS)), np.uint64)
-        for batch, toxic in _labelled(batches, path):
+        for batch, toxic, fold in _labelled(batches, path):
             data, at = c.text_buffer(batch)
             f, row, words = document_features(data, at)
             x = np.minimum(counts(f, row, batch.num_rows, known), 255).astype(np.uint8)
-            insult = counts(f, row, batch.num_rows, insults).sum(axis=1)
-            votes = np.column_stack([insult > 0, patterns(data, at, words)]).astype(np.uint8)
-            yield c.table(toxic=pa.array(toxic, pa.int32()), x=pa.array([r.tobytes() for r in x], pa.binary()), votes=pa.array([r.tobytes() for r in votes], pa.binary()))
+            seen = patterns(data, at, f, row, words).astype(np.uint8)
+            yield c.table(toxic=pa.array(toxic, pa.int32()), fold=pa.array(fold, pa.int32()), words=words.astype(np.int64), x=pa.array([r.tobytes() for r in x], pa.binary()), patterns=pa.array([r.tobytes() for r in seen], pa.binary()))
 
     return run
 
 
-# ---------------------------------------------------------------- label model and classifier
+# ---------------------------------------------------------------- label model
 
 
-PENALTY = 0.006  # L2, for each row
-GIVEN = (0.95, 0.02)  # how often a given label says toxic of a toxic and of another document
+def lexicon_votes(x: np.ndarray, words: np.ndarray, insult: np.ndarray) -> np.ndarray:
+    """1 (toxic) where a row has an insult, or a mined feature clearly more often than its length and the feature's rate in all rows let expect, else 0 (abstains)."""
+    expected = np.outer(words, x.sum(axis=0) / max(1, words.sum()))
+    return ((x >= 1) & (insult | (x > expected + 2 * np.sqrt(expected)))).astype(int)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """Posterior P(toxic) of each row of 0/1 votes, and the model.
+def spanning_tree(gain: np.ndarray) -> list[int]:
+    """Parent of each node (-1 for the root, node 0) in the maximum spanning tree of the symmetric matrix gain."""
+    n = len(gain)
+    parent, best, done = [-1] * n, gain[0].copy(), np.zeros(n, bool)
+    near = np.zeros(n, int)
+    done[0] = True
+    for _ in range(n - 1):
+        j = int(np.argmax(np.where(done, -np.inf, best)))
+        parent[j], done[j] = int(near[j]), True
+        better = ~done & (gain[j] > best)
+        best[better], near[better] = gain[j][better], j
+    return parent
 
-    A voter's rates on either class come from EM; its weight is 1 / (1 + sum of its correlations with
-    other voters inside classes), where correlations below 0.1 count as none. The given labels are a
-    voter with the known rates GIVEN, which ties the latent class to toxicity; EM starts from them.
-    """
-    p = np.where(given == 1, 0.9, 0.03)
-    v = votes.astype(float)
-    told = np.where(given == 1, np.log(GIVEN[0] / GIVEN[1]), np.log((1 - GIVEN[0]) / (1 - GIVEN[1])))
-    for _ in range(rounds):
-        prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        a = (p @ v + 0.5) / (p.sum() + 1)
-        b = ((1 - p) @ v + 0.5) / ((1 - p).sum() + 1)
-        rest = v - np.outer(p, a) - np.outer(1 - p, b)
-        cov = rest.T @ rest / max(1, len(v))
-        sd = np.sqrt(np.diag(cov)) + 1e-9
-        corr = np.abs(cov / np.outer(sd, sd))
-        np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
-        logit = np.log(prior / (1 - prior)) + told + v @ (weight * np.log(a / b)) + (1 - v) @ (weight * np.log((1 - a) / (1 - b)))
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return p, {"prior": prior, "on_toxic": a, "on_other": b, "correlation": corr, "weight": weight}
+
+class LabelModel:
+    """P(class) and, for each voter, P(vote | class, vote of the voter's parent); votes are 0 (abstains), 1 (toxic), 2 (not toxic)."""
+
+    def __init__(self, votes: np.ndarray, rounds: int = 40, smooth: float = 0.2):
+        n, m = votes.shape
+        self.votes, self.smooth = votes, smooth
+        self.hot = np.stack([votes == k for k in range(3)], axis=2).reshape(n, 3 * m).astype(float)
+        # EM starts from a count of votes, in which voters that nearly copy each other share one
+        said = (votes == 1).astype(float) - (votes == 2)
+        alike = np.abs(np.corrcoef(said, rowvar=False).reshape(m, m)) if n > 1 else np.eye(m)
+        yes = said @ (1 / np.maximum(1, (np.nan_to_num(alike) > 0.95).sum(axis=1)))
+        self.posterior = np.where(yes > 1.25, 0.9, np.where(yes > 0.75, 0.6, 0.02))
+        self.parent = [-1] * m
+        for i in range(rounds):
+            if i in (1, 4, 8, 20):  # the first round takes voters as independent, else the factors would take up what the class explains
+                self.parent = spanning_tree(self._information())
+            self._maximise()
+            self.posterior = self.classify(votes)
+
+    def _pairs(self, y: int) -> np.ndarray:
+        """Weighted counts of the votes of all pairs of voters in a class."""
+        weight = self.posterior if y else 1 - self.posterior
+        m = self.votes.shape[1]
+        return (self.hot.T @ (self.hot * weight[:, None])).reshape(m, 3, m, 3)
+
+    def _information(self) -> np.ndarray:
+        """Mutual information of all pairs of voters given the class."""
+        out = 0
+        for y in (0, 1):
+            joint = self._pairs(y) + 1e-9
+            own = self.posterior.sum() if y else len(self.posterior) - self.posterior.sum()
+            joint /= max(own, 1e-9)
+            single = np.einsum("jkjk->jk", joint)
+            out = out + own * (joint * np.log(joint / (single[:, :, None, None] * single[None, None]))).sum(axis=(1, 3))
+        np.fill_diagonal(out, -np.inf)
+        return out
+
+    def _maximise(self) -> None:
+        self.prior = float(np.clip(self.posterior.mean(), 1e-4, 1 - 1e-4))
+        self.tables = []  # of each voter: class, parent's vote, vote
+        for j, up in enumerate(self.parent):
+            table = np.empty((2, 3, 3))
+            above = self.votes[:, up] if up >= 0 else np.zeros(len(self.votes), int)
+            for y in (0, 1):
+                weight = self.posterior if y else 1 - self.posterior
+                count = np.bincount(above * 3 + self.votes[:, j], weight, minlength=9).reshape(3, 3)
+                overall = (count.sum(axis=0) + self.smooth) / (count.sum() + 3 * self.smooth)
+                table[y] = (count + 3 * self.smooth * overall) / (count.sum(axis=1, keepdims=True) + 3 * self.smooth)
+            self.tables.append(table)
+
+    def classify(self, votes: np.ndarray) -> np.ndarray:
+        """Posterior probability of class 1 for each row of votes."""
+        logit = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for j, up in enumerate(self.parent):
+            above = votes[:, up] if up >= 0 else np.zeros(len(votes), int)
+            logit += np.log(self.tables[j][1][above, votes[:, j]] / self.tables[j][0][above, votes[:, j]])
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+    def accuracies(self) -> np.ndarray:
+        """Of each voter, how often a vote of it agrees with the class, by the model's posterior."""
+        p = self.posterior[:, None]
+        right = (np.where(self.votes == 1, p, 0) + np.where(self.votes == 2, 1 - p, 0)).sum(axis=0)
+        return right / np.maximum((self.votes > 0).sum(axis=0), 1)
+
+
+# ---------------------------------------------------------------- classifier
+
+
+PENALTY = 0.006  # L2, for each row
 
 
 def train(x: np.ndarray, target: np.ndarray, penalty: float | None = None, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -216,41 +286,40 @@ def train(x: np.ndarray, target: np.ndarray, penalty: float | None = None, round
     return w / sd, b
 
 
-def fit(x: np.ndarray, given: np.ndarray, fixed_votes: np.ndarray, z: np.ndarray):
-    """Voters' votes on the sample, the label model, and the classifier's weights."""
-    toward = np.flatnonzero(z > 0)[:120]
-    votes = []
-    for j in toward:  # each lexicon voter asks for as many occurrences as tell most
-        best, vote = -np.inf, None
-        for least in (1, 2, 3):
-            yes = x[:, j] >= least
-            m = yes.sum()
-            if m < 3:
-                break
-            e = m * given.mean()
-            score = (given[yes].sum() - e) / np.sqrt(e * (1 - given.mean()) + 0.5)
-            if score > best:
-                best, vote = score, yes
-        if vote is not None:
-            votes.append(vote)
-    posterior, model = label_model(np.column_stack([*votes, fixed_votes]), given)
-    weights, bias = train(np.log1p(x.astype(float)), posterior)
-    return weights, bias, model
-
-
-def _score(known: np.ndarray, weights: np.ndarray, bias: float):
+def posteriors(x: np.ndarray, words: np.ndarray, seen: np.ndarray, fold: np.ndarray, given: np.ndarray, voters: list[np.ndarray], insult: np.ndarray) -> tuple[np.ndarray, list[LabelModel]]:
+    """Posterior of each row. voters: for each fold, the columns of x that vote there; insult: whether a column is a general voter's."""
+    out, models = np.zeros(len(x)), []
+    for f in (0, 1):
+        own = fold == f
+        if not own.any():
+            continue
+        votes = np.column_stack([lexicon_votes(x[own][:, voters[f]].astype(float), words[own], insult[voters[f]]), seen[own].astype(int)])
+        votes = votes[:, votes.any(axis=0)]
+        if not votes.shape[1]:
+            continue
+        model = LabelModel(votes)
+        p = model.posterior
+        # the labels only name the classes
+        if 0 < given[own].sum() < own.sum() and p[given[own] == 1].mean() < p[given[own] == 0].mean():
+            p = 1 - p
+        out[own] = p
+        models.append(model)
+    return out, models
+
+
+def _score(known: np.ndarray, weights: np.ndarray, bias: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, batch in c.by_split(batches):
-            f, row, _ = document_features(*c.text_buffer(batch))
+        for _, batch in c.by_split(batches, text):
+            f, row, _ = document_features(*c.text_buffer(batch, text))
             logit = (np.log1p(counts(f, row, batch.num_rows, known).astype(float)) * weights).sum(axis=1) + bias  # row by row, so the same for equal texts
             score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            yield batch.drop_columns(["_split"]).append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= 0.5).astype(np.int32)))
+            yield batch.append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= 0.5).astype(np.int32)))
 
     return run
 
 
-def held_out():
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -260,38 +329,47 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     largest counts, null ones don't. The label model and the classifier see ``sample`` rows at most, those with the
     smallest hashes of doc_id. Scores are a function of the text alone; null and empty texts have no
     features and get the classifier's constant. Without usable labels of both classes every score is the
-    share of toxic labels (0 without labels). Columns of docs named held_out, score or predicted are replaced.
+    share of toxic labels (0 without labels). Columns of docs named held_out, score or predicted are replaced, all others
+    are returned, whatever their names.
     """
-    docs = docs.drop("held_out", "score", "predicted", "_split")
-    whole = c.with_split(docs.withColumn("held_out", held_out()))
-    own = whole.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.drop("held_out", "score", "predicted")
+    rows, names = c.plain(docs)
+    c.columnwise(docs.sparkSession)
+    known, weights, bias = learn(docs, labels, sample)[:3]
+    out = rows.withColumn("held_out", held_out(names["doc_id"]))
+    schema = T.StructType([*out.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return out.mapInArrow(_score(known, weights, bias, names["text"]), schema).toDF(*docs.columns, "held_out", "score", "predicted")
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """The classifier: features, weights and constant; and a report of the label models."""
+    own = c.with_split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    given = given.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    there = c.keep(own.select("doc_id", "_split").distinct().join(given, "doc_id"), "op3-labels")
-    total = there.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
-    known, weights, bias = np.empty(0, np.uint64), np.empty(0), -30.0
-    if total[0] and 0 < total[1] < total[0]:
-        known, weights, bias = _learn(own.select("doc_id", "text", "_split"), there.withColumn("toxic", (F.col("toxic") > 0).cast("int")), total, sample)
-    elif total[0]:
-        share = min(max(total[1] / total[0], 1e-9), 1 - 1e-9)
-        bias = float(np.log(share / (1 - share)))
-    return whole.mapInArrow(_score(known, weights, bias), f"{docs.schema.simpleString()[7:-1]}, held_out boolean, score double, predicted int")
-
-
-def _learn(docs: DataFrame, there: DataFrame, total, sample: int):
-    told = c.deliver(there, "op3-told", docs)
-    counted = docs.mapInArrow(_count(told), "shard int, h binary, n binary, t binary")
-    best = counted.groupBy("shard").applyInPandas(_telling(total[0], total[1]), "h long, z double").orderBy(F.abs("z").desc(), "h").limit(FEATURES).toPandas()
-    h = best["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    known = h[order]
-    few = there if total[0] <= sample else there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # SAMPLE rows of FEATURES bytes each
-    rows = docs.mapInArrow(_sample(c.deliver(few, "op3-few", docs), known), "toxic int, x binary, votes binary").orderBy("x", "toxic", "votes").toPandas()
-    x = np.frombuffer(b"".join(rows["x"]), np.uint8).reshape(len(rows), len(known))[:, np.argsort(order)]
-    votes = np.frombuffer(b"".join(rows["votes"]), np.uint8).reshape(len(rows), -1)
-    weights, bias, _ = fit(x, rows["toxic"].to_numpy(), votes, best["z"].to_numpy())
-    return known, weights[order], bias
+    given = given.where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int").alias("fold")
+    there = c.keep(own.select("doc_id", "_split").distinct().join(given, "doc_id").select("doc_id", "toxic", fold, "_split"), "op3-labels")
+    size = {r.fold: r for r in there.groupBy("fold").agg(F.count(F.lit(1)).alias("docs"), F.sum("toxic").alias("bad")).collect()}
+    docs_of, toxic_of = ([size[f][k] if f in size else 0 for f in (0, 1)] for k in ("docs", "bad"))
+    total, bad = sum(docs_of), sum(toxic_of)
+    if not 0 < bad < total:
+        share = min(max(bad / total, 1e-9), 1 - 1e-9) if total else 0
+        return np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))) if total else -30.0, {}
+    texts, shards = own.select("doc_id", "text", "_split"), c.shard_count(own)
+    counted = texts.mapInArrow(_count(c.deliver(there, "op3-told", own), shards), "shard long, body binary")
+    told = c.keep(counted.groupBy("shard").applyInArrow(_telling(docs_of, toxic_of), "fold long, h long, z double"), "op3-telling")
+    mined = [[(r.h, r.z) for r in told.where(F.col("fold") == f).orderBy(F.abs("z").desc(), "h").limit(FEATURES).collect()] for f in (0, 1)]
+    known = np.unique(np.concatenate([general(), *(np.array([h for h, _ in x], np.int64) for x in mined)]))
+    few = there if total <= sample else there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # SAMPLE rows with a byte for each feature
+    got = texts.mapInArrow(_sample(c.deliver(few, "op3-few", own), known), "toxic int, fold int, words long, x binary, patterns binary").collect()
+    got.sort(key=lambda r: (bytes(r.x), bytes(r.patterns), r.words, r.fold, r.toxic))
+    x, seen = (np.frombuffer(b"".join(bytes(r[k]) for r in got), np.uint8).reshape(len(got), -1) for k in ("x", "patterns"))
+    words, folds, toxic = (np.array([r[k] for r in got]) for k in ("words", "fold", "toxic"))
+    tells = [np.array([h for h, z in mined[1 - f] if z >= LEAST_Z][:VOTERS], np.int64) for f in (0, 1)]
+    voters = [np.searchsorted(known, np.unique(np.concatenate([general(), t]))) for t in tells]
+    p, models = posteriors(x, words, seen, folds, toxic, voters, np.isin(known, general()))
+    weights, bias = train(np.log1p(x.astype(float)), p)
+    return known, weights, bias, {"rows": len(got), "toxic": int(toxic.sum()), "differ": int(((p >= 0.5) != toxic).sum()), "voters": [m.votes.shape[1] for m in models], "models": models}
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
