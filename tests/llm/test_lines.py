@@ -52,3 +52,11 @@ def test_levels(spark):
     plan = runs.new(keys)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1  # runs are read in place
     runs.drop()
+
+
+def test_column_names(spark):
+    df = spark.createDataFrame([(1, "a line of text", 1, "x"), (2, "a line of text\nmore", 2, "y")], "doc_id long, text string, _ord int, `body of.it` string")
+    out = line_dedup(df, batches=1)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a line of text", 1, "x", 1, 0), (2, "more", 2, "y", 2, 1)]
+    assert spark.sql("SHOW TABLES LIKE 'line_run_*'").count() == 0
