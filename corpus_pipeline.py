@@ -30,9 +30,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, that with the smallest doc_id (null comes last)."""
-    rows = c.with_split(docs.select(*COLUMNS), "_row")
-    gone = near_rows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_split", "_row")).where("NOT first").select("_split", "_row")
-    return rows.join(gone, ["_split", "_row"], "left_anti").select(*COLUMNS)
+    rows = c.row_key(docs.select(*COLUMNS))
+    gone = near_rows(rows.select("doc_id", "text", "_file", "_row"), longs=("_file", "_row")).where("NOT first").select("_file", "_row")
+    return rows.join(gone, ["_file", "_row"], "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,7 @@ ORACLE_SQL = None  # SQL can't express the classifier; tests/llm/test_pipeline.p
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = c.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, c.keep_only(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if hasattr(before, "kept_at"):
+            c.drop(before)
     return docs

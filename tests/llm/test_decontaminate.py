@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from varspark.llm.decontaminate import decontaminate, op10_decontaminate, tile
+from varspark.llm.decontaminate import decontaminate, op10_decontaminate, tile, tile_texts
 
 TOKEN = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,6 +76,47 @@ def test_edge_rows(spark, slice_bytes):
     assert got(decontaminate(d.where("false"), b)) == []
 
 
+def test_a_token_repeated_without_end(spark):
+    """All places match all places: runs are found place by place, in bounded memory and time."""
+    docs = spark.createDataFrame([(1, "rep " * 20_000), (2, "rep " * 390), (3, "rep " * 150 + "x " * 99 + "rep " * 60)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "rep " * 400)], "item_id long, text string")
+    assert [r[3:5] for r in got(decontaminate(docs, items))] == [(1, 1.0), (1, 0.975), (1, 0.525)]
+
+
+def test_column_names(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta", 5, "a b", 7)], "doc_id long, text string, _split int, `n-chars of.it` string, _row int")
+    out = decontaminate(docs, spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string"))
+    assert out.columns == [*docs.columns, "n_items", "items", "item_id", "coverage", "contaminated"]
+    assert [tuple(r) for r in out.collect()] == [(1, "alpha beta gamma delta", 5, "a b", 7, 1, [1], 1, 1.0, True)]
+
+
+def test_tiles_of_texts():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        a, b = ([bytes([x]) for x in rng.integers(97, 100, n)] for n in (30, 60))
+        assert tile_texts(a, b, 3) == brute_tiles(a, b, 3)
+
+
+def test_query_against_brute_force(spark):
+    """All documents against all items, coverage and verdict, with tiles from plain token lists."""
+    sf = "/root/testdata/sf0.001"
+    items = {r.item_id: [x.encode() for x in tok(r.text)] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        b = [x.encode() for x in tok(r.text)]
+        seen = set(zip(b, b[1:], b[2:], b[3:]))
+        hits = {}
+        for i, a in items.items():
+            if len(a) >= 4 and any(g in seen for g in zip(a, a[1:], a[2:], a[3:])):
+                done = sum(k for _, _, k in tile_texts(a, b, 4))
+                if done >= 0.5 * len(a):
+                    hits[i] = done / len(a)
+        best = min(((-v, k) for k, v in hits.items()), default=(0, None))
+        want.append((r.doc_id, len(hits), sorted(hits), best[1], pytest.approx(-best[0], abs=1e-6), bool(hits)))
+    assert got(op10_decontaminate(spark, sf)) == sorted(want, key=lambda r: str(r[:4]))
+    assert any(r[1] for r in want)
+
+
 def test_query_finds_contained_items(spark):
     sf = "/root/testdata/sf0.001"
     items = {r.item_id: " ".join(tok(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}

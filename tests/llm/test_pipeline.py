@@ -1,3 +1,5 @@
+import math
+
 import corpus_pipeline
 from tests.llm.test_decontaminate import tok
 from tests.llm.test_near import brute as near_brute
@@ -39,15 +41,18 @@ def test_pipeline_against_brute_force(spark):
     kept = {r[0] for r in near_brute(docs) if r[3]}
     items = [tok(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = [(d, t) for d, t in docs if d in kept and not any(2 * covered(x, tok(t)) >= len(x) for x in items if len(x) >= 4)]
-    seen, classes, order = {}, list(WEIGHTS), []
+    seen, order = {}, []
+    others = {source[d].source for d, _ in docs} - set(WEIGHTS)
+    weights = {s: w * len(others) for s, w in WEIGHTS.items()} | dict.fromkeys(others, REST)
+    weights = {s: w // math.gcd(*weights.values()) for s, w in weights.items()}
     slots = {}
-    for slot, s in enumerate(period(WEIGHTS)):
+    for slot, s in enumerate(period(weights)):
         slots.setdefault(s, []).append(slot)
     for d, _ in sorted(docs, key=lambda r: (r[0] % 1000003 * 7919 % BUCKETS, r[0])):
-        s = source[d].source if source[d].source in classes else REST
+        s = source[d].source
         rank = seen[s] = seen.get(s, -1) + 1
         block = rank // BLOCK
-        order.append((block // WEIGHTS[s] * sum(WEIGHTS.values()) + slots[s][block % WEIGHTS[s]], rank % BLOCK, d))
+        order.append((block // weights[s] * sum(weights.values()) + slots[s][block % weights[s]], rank % BLOCK, d))
     text = dict(docs)
     want = [(d, text[d], source[d].lang, source[d].source, len(text[d]), slot, pos) for slot, pos, d in sorted(order)]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(want)

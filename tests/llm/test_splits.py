@@ -3,9 +3,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from varspark.llm import common as c
-from varspark.llm.near_dedup import near_dedup
-from varspark.llm.substring_dedup import substring_dedup
-from varspark.llm.suffix_dedup import suffix_dedup
+from varspark.llm.decontaminate import decontaminate
+from varspark.llm.quality_rules import quality_rules
 from varspark.llm.toxicity import toxicity
 
 SIZE = "spark.sql.files.maxPartitionBytes"
@@ -24,7 +23,16 @@ def labelled(docs):
     return toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id % 150 % 3 > 0 as int) AS toxic"))
 
 
-@pytest.mark.parametrize("operator", [substring_dedup, labelled, near_dedup, suffix_dedup])
+def cleaned(docs):
+    items = docs.where("doc_id % 9 = 0").selectExpr("doc_id AS item_id", "substring_index(text, ' ', 40) AS text")
+    return decontaminate(docs, items, slice_bytes=2000)
+
+
+def ruled(docs):
+    return quality_rules(docs.selectExpr("doc_id", "replace(text, '_7', '_7\n') AS text", "concat('s', doc_id % 3) AS source"), min_docs=1, share=0.0)
+
+
+@pytest.mark.parametrize("operator", [labelled, cleaned, ruled])
 def test_passes_may_be_planned_with_other_splits(spark, monkeypatch, path, operator):
     before, deliver = spark.conf.get(SIZE), c.deliver
     docs = spark.read.parquet(path)
@@ -48,7 +56,7 @@ def test_passes_may_be_planned_with_other_splits(spark, monkeypatch, path, opera
 def test_an_unknown_split_is_an_error(spark, path):
     docs = c.with_split(spark.read.parquet(path))
     split = docs.first()._split
-    told = c.deliver(spark.createDataFrame([], "_split string, key long"), "t", docs)
+    told = c.deliver(spark.createDataFrame([], "key long, _split long"), "t", docs)
     assert c.delivered(told, split, ["key"]) is None
     with pytest.raises(ValueError, match="doesn't know"):
-        c.delivered(told, "other", ["key"])
+        c.delivered(told, 12345, ["key"])
