@@ -521,6 +521,7 @@ def _table(seed: int, n: int) -> np.ndarray:
 
 
 ODD = _table(11, 8)
+ODD_ROW = _table(12, 4096)
 BYTE = [_table(21, 256), _table(22, 256)]
 _fold = np.arange(256)
 _fold[65:91] += 32

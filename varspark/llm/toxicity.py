@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import common as c
 
-FEATURES = 400  # mined features of a fold, those that tell most
+FEATURES = 300  # mined features of a fold, those that tell most
 VOTERS = 120  # of them vote, those that tell most of toxic texts
 LEAST_DOCS = 4  # labelled documents of a fold that a feature must stand in
 LEAST_Z = 3.5  # standardised excess of toxic documents that a voter's feature must have
@@ -161,7 +161,8 @@ def _sample(path: str, known: np.ndarray):
             f, row, words = document_features(data, at)
             x = np.minimum(counts(f, row, batch.num_rows, known), 255).astype(np.uint8)
             seen = patterns(data, at, f, row, words).astype(np.uint8)
-            yield c.table(toxic=pa.array(toxic, pa.int32()), fold=pa.array(fold, pa.int32()), words=words.astype(np.int64), x=pa.array([r.tobytes() for r in x], pa.binary()), patterns=pa.array([r.tobytes() for r in seen], pa.binary()))
+            arrays = {"toxic": toxic.astype(np.uint8), "fold": fold.astype(np.uint8), "words": words.astype("<i8"), "x": x, "patterns": seen}
+            yield c.table(**{k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()})
 
     return run
 
@@ -171,8 +172,8 @@ def _sample(path: str, known: np.ndarray):
 
 def lexicon_votes(x: np.ndarray, words: np.ndarray, insult: np.ndarray) -> np.ndarray:
     """1 (toxic) where a row has an insult, or a mined feature clearly more often than its length and the feature's rate in all rows let expect, else 0 (abstains)."""
-    expected = np.outer(words, x.sum(axis=0) / max(1, words.sum()))
-    return ((x >= 1) & (insult | (x > expected + 2 * np.sqrt(expected)))).astype(int)
+    expected = np.outer(words, x.sum(axis=0, dtype=float) / max(1, words.sum())).astype(np.float32)
+    return ((x >= 1) & (insult | (x > expected + 2 * np.sqrt(expected)))).astype(np.int8)
 
 
 def spanning_tree(gain: np.ndarray) -> list[int]:
@@ -195,7 +196,7 @@ class LabelModel:
     def __init__(self, votes: np.ndarray, rounds: int = 40, smooth: float = 0.2):
         n, m = votes.shape
         self.votes, self.smooth = votes, smooth
-        self.hot = np.stack([votes == k for k in range(3)], axis=2).reshape(n, 3 * m).astype(float)
+        self.hot = np.stack([votes == k for k in range(3)], axis=2).reshape(n, 3 * m).astype(np.float32)
         # EM starts from a count of votes, in which voters that nearly copy each other share one
         said = (votes == 1).astype(float) - (votes == 2)
         alike = np.abs(np.corrcoef(said, rowvar=False).reshape(m, m)) if n > 1 else np.eye(m)
@@ -212,7 +213,7 @@ class LabelModel:
         """Weighted counts of the votes of all pairs of voters in a class."""
         weight = self.posterior if y else 1 - self.posterior
         m = self.votes.shape[1]
-        return (self.hot.T @ (self.hot * weight[:, None])).reshape(m, 3, m, 3)
+        return (self.hot.T @ (self.hot * weight[:, None].astype(np.float32))).astype(float).reshape(m, 3, m, 3)
 
     def _information(self) -> np.ndarray:
         """Mutual information of all pairs of voters given the class."""
@@ -231,7 +232,7 @@ class LabelModel:
         self.tables = []  # of each voter: class, parent's vote, vote
         for j, up in enumerate(self.parent):
             table = np.empty((2, 3, 3))
-            above = self.votes[:, up] if up >= 0 else np.zeros(len(self.votes), int)
+            above = self.votes[:, up].astype(int) if up >= 0 else np.zeros(len(self.votes), int)
             for y in (0, 1):
                 weight = self.posterior if y else 1 - self.posterior
                 count = np.bincount(above * 3 + self.votes[:, j], weight, minlength=9).reshape(3, 3)
@@ -261,28 +262,29 @@ PENALTY = 0.006  # L2, for each row
 
 
 def train(x: np.ndarray, target: np.ndarray, penalty: float | None = None, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels (standardised features, L2), by accelerated gradient steps."""
+    """Logistic regression on soft labels (standardised features, L2), by accelerated gradient steps. x is scaled in place."""
     penalty = max(0.5, PENALTY * len(x)) if penalty is None else penalty
-    sd = x.std(axis=0)
-    sd[sd < 1e-6] = np.inf  # a constant feature has no weight
-    z = x / sd
-    n = len(z)
+    mean = x.mean(axis=0, dtype=np.float64)
+    sd = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / max(1, len(x)) - mean**2, 0))
+    sd[sd < 1e-4] = np.inf  # a constant feature has no weight
+    x /= sd.astype(x.dtype)
+    z, n = x, len(x)
     scale = np.clip(target.mean(), 1e-3, 1 - 1e-3)
     w, b = np.zeros(z.shape[1]), float(np.log(scale / (1 - scale)))
     if z.shape[1]:
-        probe = np.ones(z.shape[1]) / np.sqrt(z.shape[1])
+        probe = (np.ones(z.shape[1]) / np.sqrt(z.shape[1])).astype(z.dtype)
         for _ in range(20):
             probe = z.T @ (z @ probe)
             norm = np.linalg.norm(probe) + 1e-12
             probe /= norm
-        step = 1 / (norm / 4 + n / 4 + penalty)
+        step = float(1 / (norm / 4 + n / 4 + penalty))
         last_w, last_b = w, b
         for i in range(rounds):
             m = i / (i + 3)
             yw, yb = w + m * (w - last_w), b + m * (b - last_b)
-            off = 1 / (1 + np.exp(-np.clip(z @ yw + yb, -30, 30))) - target
+            off = 1 / (1 + np.exp(-np.clip(z @ yw.astype(z.dtype) + yb, -30, 30))) - target
             last_w, last_b = w, b
-            w, b = yw - step * (z.T @ off + penalty * yw), yb - step * off.sum()
+            w, b = yw - step * (z.T @ off.astype(z.dtype) + penalty * yw), yb - step * off.sum()
     return w / sd, b
 
 
@@ -293,7 +295,7 @@ def posteriors(x: np.ndarray, words: np.ndarray, seen: np.ndarray, fold: np.ndar
         own = fold == f
         if not own.any():
             continue
-        votes = np.column_stack([lexicon_votes(x[own][:, voters[f]].astype(float), words[own], insult[voters[f]]), seen[own].astype(int)])
+        votes = np.column_stack([lexicon_votes(x[own][:, voters[f]], words[own], insult[voters[f]]), seen[own].astype(np.int8)])
         votes = votes[:, votes.any(axis=0)]
         if not votes.shape[1]:
             continue
@@ -361,15 +363,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     known = np.unique(np.concatenate([general(), *(np.array([h for h, _ in x], np.int64) for x in mined)]))
     few = there if total <= sample else there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # SAMPLE rows with a byte for each feature
-    got = texts.mapInArrow(_sample(c.deliver(few, "op3-few", own), known), "toxic int, fold int, words long, x binary, patterns binary").collect()
-    got.sort(key=lambda r: (bytes(r.x), bytes(r.patterns), r.words, r.fold, r.toxic))
-    x, seen = (np.frombuffer(b"".join(bytes(r[k]) for r in got), np.uint8).reshape(len(got), -1) for k in ("x", "patterns"))
-    words, folds, toxic = (np.array([r[k] for r in got]) for k in ("words", "fold", "toxic"))
+    got = texts.mapInArrow(_sample(c.deliver(few, "op3-few", own), known), "toxic binary, fold binary, words binary, x binary, patterns binary").collect()
+    x, seen, words, folds, toxic = (np.frombuffer(b"".join(r[k] for r in got), kind) for k, kind in (("x", "u1"), ("patterns", "u1"), ("words", "<i8"), ("fold", "u1"), ("toxic", "u1")))
+    del got
+    x, seen = x.reshape(-1, len(known)), seen.reshape(-1, len(PATTERNS))
+    # an order that doesn't follow from how rows were dealt to tasks
+    order = np.lexsort((toxic, folds, c.mix((x @ c.ODD_ROW[: len(known)]) + (seen @ c.ODD_ROW[: len(PATTERNS)])), words))
+    x, seen, words, folds, toxic = (v[order] for v in (x, seen, words, folds, toxic))
     tells = [np.array([h for h, z in mined[1 - f] if z >= LEAST_Z][:VOTERS], np.int64) for f in (0, 1)]
     voters = [np.searchsorted(known, np.unique(np.concatenate([general(), t]))) for t in tells]
     p, models = posteriors(x, words, seen, folds, toxic, voters, np.isin(known, general()))
-    weights, bias = train(np.log1p(x.astype(float)), p)
-    return known, weights, bias, {"rows": len(got), "toxic": int(toxic.sum()), "differ": int(((p >= 0.5) != toxic).sum()), "voters": [m.votes.shape[1] for m in models], "models": models}
+    x = x.astype(np.float32)
+    weights, bias = train(np.log1p(x, out=x), p)
+    return known, weights, bias, {"rows": len(x), "toxic": int(toxic.sum()), "differ": int(((p >= 0.5) != toxic).sum()), "voters": [m.votes.shape[1] for m in models], "models": models}
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
