@@ -16,6 +16,7 @@ Four ideas carry the operators of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,6 +39,8 @@ BITS = 62  # of a hash that is a key of the routing
 LAST_ID = np.iinfo(np.int64).max  # a null doc_id sorts after all others
 
 
+_libc = ctypes.CDLL(None)
+
 # ---------------------------------------------------------------- shared folder
 
 
@@ -217,6 +220,7 @@ def by_split(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> It
                 start, total = i, 0
             total += size[i]
         yield split[start], batch.slice(start)
+    release()
 
 
 # ---------------------------------------------------------------- units
@@ -294,10 +298,18 @@ def each_unit(work: Callable[[Unit], Iterator[pa.RecordBatch]]):
             column = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 yield from work(Unit(*(column[k][i].as_py() for k in ("unit", "n", "columns", "at", "body"))))
+                release()
 
     return run
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers wait between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def shard_count(docs: DataFrame) -> int:
     """Shards for the texts of docs, SHARD_BYTES each."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -387,8 +399,8 @@ def _recut(coarse: int, fine: int, bits: int, kinds: list[str]):
     return run
 
 
-def _answer(merge, kinds: list[str]):
-    """A shard: merge(shard, keys, values, unit index) gives a mask of the keys to answer (None: all, without keys), the answers' arrays for all keys, and perhaps facts, whole numbers."""
+def _answer(merge, kinds: list[str], direct: bool):
+    """A shard: merge(shard, keys, values, unit index) gives a mask of the keys to answer (None: all, without keys), the answers' arrays for all keys, and perhaps facts, whole numbers. direct: a row for each unit."""
 
     def run(key: tuple, messages: pa.Table) -> pa.Table:
         parts = list(_parts(messages))
@@ -411,7 +423,9 @@ def _answer(merge, kinds: list[str]):
                 row[2].append(unit)
                 row[3].append(pack(None if mask is None else keys[own], [a[own] for a in answers]))
         told = [(parts[0][1], 0, [-1 - key[0].as_py() % BUCKETS], [np.array(x, "<i8").tobytes()]) for x in facts]
-        return pa.Table.from_batches([_message([*rows.values(), *told])])
+        out = pa.Table.from_batches([_message([*rows.values(), *told])])
+        release()
+        return _unbundle(out) if direct else out
 
     return run
 
@@ -438,11 +452,9 @@ def ask(asking: DataFrame, leaf, kinds: list[str], merge, shards: int, name: str
     if fine > 1:
         bundled = messages.withColumn("bundle", F.pmod(F.xxhash64("units"), F.lit(max(2, fan // 16))))
         messages = bundled.groupBy("shard", "bundle").applyInArrow(_recut(coarse, fine, bits, kinds), MESSAGE)
-    answers = messages.groupBy("shard").applyInArrow(_answer(merge, kinds), MESSAGE)
+    answers = messages.groupBy("shard").applyInArrow(_answer(merge, kinds, fine == 1), ANSWER if fine == 1 else MESSAGE)
     if fine > 1:
         answers = answers.groupBy((F.col("shard") / fine).cast("long").alias("coarse"), "bundle").applyInArrow(_unbundle, ANSWER)
-    else:
-        answers = answers.mapInArrow(lambda batches: (b for x in batches for b in _unbundle(pa.Table.from_batches([x])).to_batches()), ANSWER)
     return deliver(answers, name, asking, "unit")
 
 
