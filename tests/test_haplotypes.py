@@ -4,7 +4,7 @@ import pytest
 from varspark.functions import ehh as e
 from varspark.operators import haplotypes as hp
 from varspark.operators.posthoc import fisher_greater, principal_components, upgma
-from varspark.plans.cohort import star_cohort
+from varspark.plans.cohort import Cohort, star_cohort
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,26 +43,37 @@ def test_ehh_against_pairs(seed):
             assert e.integrated(hap, pos, f, who, 0.2) == pytest.approx(brute_ehh(hap, pos, f, who.tolist(), 0.2))
 
 
-def test_run_lengths():
-    hap = np.zeros((2, 4), np.int8)
-    i, j = np.triu_indices(4, 1)
-    s0, c0, s1, c1 = e.run_lengths(hap, i, j)
-    assert (s0 / c0).tolist() == [3.0, 3.0] and not s1.any() and not c1.any()  # 1 + 2 and 2 + 1
+def test_run_sums():
+    """Shared runs of all pairs, both directions added up, against pairs walked one by one."""
     rng = np.random.default_rng(0)
-    hap = rng.integers(0, 2, (12, 5)).astype(np.int8)
-    i, j = np.triu_indices(5, 1)
-    s0, c0, s1, c1 = e.run_lengths(hap, i, j)
-    for f in range(12):
-        want = [0, 0]
-        for a, b in zip(i, j, strict=True):
-            if hap[f, a] == hap[f, b]:
-                x = y = f
-                while x >= 0 and hap[x, a] == hap[x, b]:
-                    x -= 1
-                while y < 12 and hap[y, a] == hap[y, b]:
-                    y += 1
-                want[hap[f, a]] += (f - x) + (y - f)
-        assert [s0[f], s1[f]] == want
+    for hap in (np.zeros((2, 4), np.int8), rng.integers(0, 2, (12, 5)).astype(np.int8), (rng.random((40, 11)) < 0.2).astype(np.int8)):
+        n = len(hap)
+        ahead, back = e.Sweep(hap.shape[1]), e.Sweep(hap.shape[1])
+        backward = [e.run_sums(back, x) for x in hap]
+        forward = [e.run_sums(ahead, x) for x in hap[::-1]][::-1]
+        for f in range(n):
+            want, pairs = [0, 0], [0, 0]
+            for a in range(hap.shape[1]):
+                for b in range(a):
+                    if hap[f, a] == hap[f, b]:
+                        x = y = f
+                        while x >= 0 and hap[x, a] == hap[x, b]:
+                            x -= 1
+                        while y < n and hap[y, a] == hap[y, b]:
+                            y += 1
+                        want[hap[f, a]] += (f - x) + (y - f)
+                        pairs[hap[f, a]] += 1
+            assert [backward[f][i][0] + forward[f][i][0] for i in (0, 1)] == want
+            assert [backward[f][i][1] for i in (0, 1)] == pairs == [forward[f][i][1] for i in (0, 1)]
+
+
+def test_pair_counts():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        lcp = rng.integers(0, 4, rng.integers(0, 12))
+        got = np.bincount(lcp, e.pair_counts(lcp), 4) if len(lcp) else np.zeros(4)
+        want = np.bincount([lcp[i:j].min() for i in range(len(lcp)) for j in range(i + 1, len(lcp) + 1)] or [0], minlength=4) if len(lcp) else np.zeros(4)
+        assert got.tolist() == want.tolist()
 
 
 @pytest.mark.parametrize(
@@ -111,10 +122,33 @@ def test_chunks_do_not_matter(spark):
     assert len(whole) > 20 and whole == rows(chunk_size=15_000, ehh_margin=30_000)
 
 
-def test_nsl_blocks_do_not_matter(spark):
+def test_options(spark):
     c = star_cohort(spark, SF)
-    rows = lambda n: sorted((r.variant_id, round(r.nsl, 9)) for r in hp.nsl(c, "POP0", "chr1", pair_block=n).collect())
-    assert rows(64) == rows(7)
+    whole = {r.variant_id: r for r in hp.ihs(c, "POP0", "chr1").collect()}
+    part = hp.ihs(c, "POP0", "chr1", start=10_000, end=30_000, max_af=0.5, unstd_only=True)
+    assert part.columns == ["variant_id", "chr", "pos", "af", "ihs_unstd"]
+    assert {r.variant_id: r.ihs_unstd for r in part.collect()} == {k: pytest.approx(r.ihs_unstd) for k, r in whole.items() if 10_000 <= r.pos <= 30_000 and r.af <= 0.5}
+    one = [r.sample for r in c.sample.where("pop = 'POP0'").collect()]
+    got = {r.variant_id: r.xpehh_unstd for r in hp.xpehh(c, "POP0", "POP1", "chr1", samples1=one, unstd_only=True).collect()}
+    assert got == {r.variant_id: pytest.approx(r.xpehh_unstd) for r in hp.xpehh(c, "POP0", "POP1", "chr1").collect()}
+    assert 0 < hp.nsl(c, "POP0", "chr1", max_af=0.4, end=30_000).count() < hp.nsl(c, "POP0", "chr1").count()
+    short = hp.roh(c, "POP0", "chr1", min_length=1, min_snps=2, az_length=5000.0, az_fraction=0.5).collect()
+    assert len(short) == 20 and sum(r.n_roh for r in short) > 0
+
+
+def test_thousands_of_samples(spark):
+    """3,000 samples: alleles, linkage, shared runs and extended homozygosity in bounded time."""
+    n = 3000
+    variant = spark.range(60).selectExpr("id AS v", "'chr1' AS chr", "id * 1000 + 1000 AS pos", "'A' AS ref", "'T' AS alt", "concat('v', id) AS variant_id", "'SNP' AS variant_type", "'REF' AS ancestral")
+    sample = spark.range(n).selectExpr("cast(id AS int) AS sample", "'P' AS pop")
+    genotype = variant.crossJoin(sample).selectExpr("v", "sample", "cast(pmod(hash(v div 4, sample), 10) AS int) AS x", "cast(pmod(hash(sample, 7), 2) AS int) AS phase").where("x < 3").selectExpr("v", "sample", "CASE WHEN x = 0 THEN 2 ELSE 1 END AS gt", "phase")
+    none = lambda schema: spark.createDataFrame([], schema)
+    c = Cohort(variant, sample, genotype, none("gene string, symbol string"), none("v long, gene string, consequence string, impact string"), none("gene string, pathway string"), none("gene string, go string"))
+    sites = hp.site_haplotypes(c, "P").collect()
+    assert len(sites) == 60 and all(len(r.alleles) == 2 * n and sum(r.alleles) == r.ac == sum(r.dosage) for r in sites)
+    pairs = hp.ld(c, None, None, None, "P", max_dist=10_000, r2_threshold=0.9).collect()
+    assert len(pairs) == 15 * 6 and all(r.r2 == pytest.approx(1) and r.dprime == pytest.approx(1) for r in pairs)  # four sites in a row are equal
+    assert hp.nsl(c, "P").count() == 60 and hp.ihs(c, "P").count() == 60
 
 
 def test_xpehh_swaps_sign(spark):

@@ -32,7 +32,7 @@ def query(sql: str | None = None, digits: int = 6):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(cohort(spark, sf_dir)), digits)
         if sql:
-            ORACLE[f.__name__] = f"WITH {COHORT_SQL.strip()}{sql}"
+            ORACLE[f.__name__] = f"WITH RECURSIVE {COHORT_SQL.strip()}{sql}"
         return f
 
     return add

@@ -63,17 +63,69 @@ def garud_h(c):
     return hp.garud_h(c, "POP0", 50_000, 25_000)
 
 
-@query()
+# extended homozygosity by pairs: on how many sites beyond the focal one a pair agrees (len), hence the share of pairs that agree as far as each site (ehh)
+def _area(hap: str, name: str, classes: bool) -> str:
+    own = "CASE WHEN x.a = y.a THEN x.a END" if classes else "0"
+    return f"""{name}_pair AS (SELECT x.chr, x.i, x.n, x.h AS h1, y.h AS h2, {own} AS cls, x.a <> y.a AS differ FROM {hap} x JOIN {hap} y ON x.chr = y.chr AND x.i = y.i AND x.h < y.h),
+{name}_len AS (SELECT chr, i, n, cls, coalesce(min(CASE WHEN differ THEN i END) OVER (PARTITION BY chr, h1, h2 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) - i - 1 AS f,
+    i - coalesce(max(CASE WHEN differ THEN i END) OVER (PARTITION BY chr, h1, h2 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) - 1 AS b FROM {name}_pair),
+{name}_count AS (SELECT chr, i, n, cls, dir, len, count(*) AS k FROM (SELECT chr, i, n, cls, unnest([1, -1]) AS dir, unnest([f, b]) AS len FROM {name}_len WHERE cls IS NOT NULL) GROUP BY ALL),
+{name}_total AS (SELECT chr, i, n, cls, dir, sum(k) AS pairs, max(len) AS top FROM {name}_count GROUP BY ALL),
+{name}_reach AS (SELECT chr, i, cls, dir, t, sum(k) AS k FROM (SELECT chr, i, cls, dir, k, unnest(range(1, len + 1)) AS t FROM {name}_count) GROUP BY ALL),
+{name}_grid AS (SELECT chr, i, cls, dir, pairs, unnest(range(1, least(top + 1, CASE WHEN dir = 1 THEN n - 1 - i ELSE i END) + 1)) AS t FROM {name}_total),
+{name}_ehh AS (SELECT g.*, CASE WHEN 1.0 * coalesce(r.k, 0) / g.pairs < 0.05 THEN 0.0 ELSE 1.0 * coalesce(r.k, 0) / g.pairs END AS ehh FROM {name}_grid g LEFT JOIN {name}_reach r USING (chr, i, cls, dir, t)),
+{name}_walk AS (SELECT e.*, coalesce(lag(ehh) OVER w, 1.0) AS before, coalesce(min(ehh) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) > 0 AS open, abs(s.pos - p.pos) AS gap
+    FROM {name}_ehh e JOIN {name}_site s ON s.chr = e.chr AND s.i = e.i + e.dir * e.t JOIN {name}_site p ON p.chr = e.chr AND p.i = e.i + e.dir * (e.t - 1) WINDOW w AS (PARTITION BY e.chr, e.i, e.cls, e.dir ORDER BY e.t)),
+{name}_area AS (SELECT t.chr, t.i, t.cls, CASE WHEN max(gap) > 200000 THEN -1 ELSE coalesce(sum((ehh + before) / 2 * least(gap, 20000)), 0) END AS area FROM (SELECT DISTINCT chr, i, cls FROM {name}_total) t LEFT JOIN (SELECT * FROM {name}_walk WHERE open) w USING (chr, i, cls) GROUP BY ALL)"""
+
+
+_ihs = f""", {HAP.format(where="variant_type = 'SNP' AND ac BETWEEN 1 AND 39")}, one_site AS (SELECT chr, i, pos FROM focal), {_area('hap', 'one', True)},
+un AS (SELECT variant_id, chr, pos, af, ln(max(area) FILTER (cls = 0) / max(area) FILTER (cls = 1)) AS ihs_unstd, least(CAST(floor(af * 20) AS INTEGER), 19) AS bin
+    FROM focal JOIN one_area USING (chr, i) WHERE ac BETWEEN 2 AND 38 GROUP BY ALL HAVING max(area) FILTER (cls = 0) > 0 AND max(area) FILTER (cls = 1) > 0)
+SELECT variant_id, chr, pos, {_fix('af')} AS af, {_fix('ihs_unstd')} AS ihs_unstd, {_fix('CASE WHEN coalesce(stddev_samp(ihs_unstd) OVER w, 1) = 0 THEN 0 ELSE (ihs_unstd - avg(ihs_unstd) OVER w) / coalesce(stddev_samp(ihs_unstd) OVER w, 1) END')} AS ihs FROM un WINDOW w AS (PARTITION BY bin)"""
+
+
+@query(_ihs)
 def ihs(c):
     return hp.ihs(c, "POP0")
 
 
-@query()
+_xp = f""", shared AS (SELECT a.v, a.chr, a.pos, a.variant_id, a.ac / 40.0 AS af1, b.ac / 40.0 AS af2, row_number() OVER (PARTITION BY a.chr ORDER BY a.pos) - 1 AS i, count(*) OVER (PARTITION BY a.chr) AS n
+    FROM variant_pop a JOIN variant_pop b USING (v) WHERE a.pop = 'POP0' AND b.pop = 'POP1' AND a.variant_type = 'SNP' AND a.ac BETWEEN 1 AND 39 AND b.ac BETWEEN 1 AND 39),
+hap0 AS (SELECT f.chr, f.i, f.n, CAST(h AS INTEGER) AS h, CASE WHEN gt = 2 OR (gt = 1 AND phase = h % 2) THEN 1 ELSE 0 END AS a FROM shared f CROSS JOIN range(40) t(h) LEFT JOIN genotype g ON g.v = f.v AND g.sample = (h // 2) * 5),
+hap1 AS (SELECT f.chr, f.i, f.n, CAST(h AS INTEGER) AS h, CASE WHEN gt = 2 OR (gt = 1 AND phase = h % 2) THEN 1 ELSE 0 END AS a FROM shared f CROSS JOIN range(40) t(h) LEFT JOIN genotype g ON g.v = f.v AND g.sample = (h // 2) * 5 + 1),
+one_site AS (SELECT chr, i, pos FROM shared), two_site AS (SELECT chr, i, pos FROM shared), {_area('hap0', 'one', False)}, {_area('hap1', 'two', False)},
+un AS (SELECT variant_id, chr, pos, af1, af2, ln(one_area.area / two_area.area) AS x FROM shared JOIN one_area USING (chr, i) JOIN two_area USING (chr, i) WHERE one_area.area > 0 AND two_area.area > 0)
+SELECT variant_id, chr, pos, {_fix('af1')} AS af_pop1, {_fix('af2')} AS af_pop2, {_fix('x')} AS xpehh_unstd, {_fix('(x - avg(x) OVER ()) / stddev_samp(x) OVER ()')} AS xpehh FROM un"""
+
+
+@query(_xp)
 def xpehh(c):
     return hp.xpehh(c, "POP0", "POP1")
 
 
-@query()
+# Viterbi by recursion over the sites: scores of both states, and the state before each
+_hmm = f""", {HAP.format(where="variant_type = 'SNP' AND chr = 'chr1' AND ac BETWEEN 1 AND 39")},
+obs AS (SELECT f.i, f.n, f.pos, h.s, least(greatest(f.af, 0.001), 0.999) AS p, h.d FROM focal f JOIN (SELECT i, h // 2 AS s, sum(a) AS d FROM hap GROUP BY ALL) h USING (i)),
+em AS (SELECT i, n, pos, s, CASE d WHEN 0 THEN 2 * ln(1 - p) WHEN 1 THEN ln(2 * p * (1 - p)) ELSE 2 * ln(p) END AS e0, CASE d WHEN 0 THEN ln(1 - p) WHEN 1 THEN ln(0.001) ELSE ln(p) END AS e1 FROM obs),
+step AS (SELECT *, 1 - pow(1 - CAST(7.2e-8 AS DOUBLE), CAST(pos - lag(pos) OVER (PARTITION BY s ORDER BY i) AS DOUBLE)) AS moved FROM em),
+lv AS (SELECT *, least(greatest(67.0 / 72.0 * moved, 1e-10), 1 - 1e-10) AS l0, least(greatest(5.0 / 72.0 * moved, 1e-10), 1 - 1e-10) AS l1 FROM step),
+vit(i, s, s0, s1, b0, b1) AS (
+  SELECT i, s, ln(5.0 / 72.0) + e0, ln(67.0 / 72.0) + e1, 0, 1 FROM em WHERE i = 0
+  UNION ALL
+  SELECT lv.i, lv.s, greatest(s0 + ln(1 - l0), s1 + ln(l1)) + e0, greatest(s1 + ln(1 - l1), s0 + ln(l0)) + e1, CASE WHEN s0 + ln(1 - l0) >= s1 + ln(l1) THEN 0 ELSE 1 END, CASE WHEN s1 + ln(1 - l1) >= s0 + ln(l0) THEN 1 ELSE 0 END
+  FROM vit JOIN lv ON lv.s = vit.s AND lv.i = vit.i + 1),
+path(i, s, state) AS (
+  SELECT i, s, CASE WHEN s1 >= s0 THEN 1 ELSE 0 END FROM vit WHERE i = (SELECT max(i) FROM vit)
+  UNION ALL
+  SELECT vit.i - 1, vit.s, CASE WHEN path.state = 1 THEN b1 ELSE b0 END FROM path JOIN vit ON vit.s = path.s AND vit.i = path.i WHERE vit.i > 0),
+isl AS (SELECT path.s, pos, i - row_number() OVER (PARTITION BY path.s ORDER BY i) AS g FROM path JOIN focal USING (i) WHERE state = 1),
+seg AS (SELECT s, max(pos) - min(pos) AS len FROM isl GROUP BY s, g HAVING max(pos) - min(pos) >= 10000 AND count(*) >= 5)
+SELECT CAST(t.s * 5 AS INTEGER) AS sample, count(len) AS n_roh, CAST(coalesce(sum(len), 0) AS BIGINT) AS total_length, {_fix('coalesce(sum(len), 0) / 248956422.0')} AS froh, {_fix('coalesce(avg(len), 0)')} AS mean_length, CAST(coalesce(max(len), 0) AS BIGINT) AS max_length
+FROM (SELECT DISTINCT s FROM em) t LEFT JOIN seg USING (s) GROUP BY 1"""
+
+
+@query(_hmm)
 def roh_hmm(c):
     return hp.roh(c, "POP0", "chr1", min_length=10_000, min_snps=5)
 
