@@ -2,10 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from varspark.operators.diversity import diversity
+from varspark.operators.haplotypes import site_haplotypes
 from varspark.plans.cohort import star_cohort
 from varspark.sources.annotations import effect_fields, read_effects, read_go, read_pathways
 from varspark.sources.sinks import as_text, load_cohort, pack, packed_genotypes, save_cohort, unpack, write_text
-from varspark.sources.variants import Vcf, call_counts, call_rate, read_fasta, read_panel, vcf_cohort
+from varspark.sources.variants import Vcf, call_counts, call_rate, polarise, read_fasta, read_panel, vcf_cohort
 
 VCF = """##fileformat=VCFv4.2
 ##contig=<ID=chr1,length=1000>
@@ -92,7 +93,43 @@ def test_pathways_and_terms(spark, files):
 
 
 def test_fasta(spark, files):
-    assert rows(read_fasta(spark, f"{files}/anc.fa").where("base <> 'N'")) == [(10, "T"), (20, "a")]
+    assert rows(read_fasta(spark, f"{files}/anc.fa")) == [("chr1", 0, "NNNNNNNNNT"), ("chr1", 10, "NNNNNNNNNa")]
+
+
+def test_fasta_of_several_contigs(spark, tmp_path):
+    """Placed across splits of the file; a contig's bases never reach another's variants."""
+    bases = {f"c{i}": "".join("ACGTN"[(i * 7 + j * j) % 5] for j in range(130 + 37 * i)) for i in range(6)}
+    (tmp_path / "all.fa").write_text("".join(f">{k} x\n" + "".join(b[i : i + 40] + "\n" for i in range(0, len(b), 40)) for k, b in bases.items()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150b")
+    try:
+        lines = read_fasta(spark, f"{tmp_path}/all.fa")
+        got = {}
+        for r in lines.orderBy("chr", "start").collect():
+            assert len(got.setdefault(r.chr, "")) == r.start
+            got[r.chr] += r.bases
+        assert got == bases
+        sites = [(f"{k}:{i}", k, i, "A", "C") for k, b in bases.items() for i in range(1, len(b) + 1, 3)]
+        out = polarise(spark.createDataFrame(sites, "v string, chr string, pos long, ref string, alt string"), lines, 16).collect()
+        assert {r.v: r.ancestral for r in out} == {v: {"A": "REF", "C": "ALT"}.get(bases[k][i - 1]) for v, k, i, _, _ in sites}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_multiallelic_split(spark, files):
+    vcf = Vcf(spark, f"{files}/a.vcf")
+    found = vcf.variants(split=True).where("pos = 40")
+    assert rows(found.select("variant_id", "allele")) == [("chr1:40:G:C", 1), ("chr1:40:G:T", 2)]
+    everyone = spark.createDataFrame([(i, "A") for i in range(5)], "i int, pop string")
+    assert rows(call_counts(vcf.calls(found), everyone).select("v", "ac", "an", "het")) == [("chr1:40:G:C", 1, 10, 1), ("chr1:40:G:T", 0, 10, 0)]
+
+
+def test_unknown_population(spark):
+    c = star_cohort(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError, match="NOPE"):
+        diversity(c, "chr1", None, None, "NOPE")
+    with pytest.raises(ValueError, match="NOPE"):
+        site_haplotypes(c, "NOPE")
 
 
 def test_text(spark, tmp_path):

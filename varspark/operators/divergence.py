@@ -66,6 +66,22 @@ def sfs(cohort: Cohort, chr: str, start: int | None, end: int | None, pop: str,
     return _spectrum(sites.select(value.alias("bin"), "an"), folded)
 
 
+def sfs_facts(cohort: Cohort, chr: str | None, start: int | None, end: int | None, pop: str, folded: bool = False, where: SiteFilter = NO_FILTER, samples: list | None = None, **conditions) -> DataFrame:
+    """n_variants, max_ac (the largest number of alleles) and n_polarized (0 if folded) of the sites of a spectrum; a row always."""
+    sites = where.apply(annotated(cohort, in_region(counts(cohort, pop, samples), chr, start, end), **conditions))
+    polarized = F.lit(0).cast("long") if folded else F.count("ancestral")
+    return sites.agg(F.count(F.lit(1)).alias("n_variants"), F.coalesce(F.max("an"), F.lit(0)).alias("max_ac"), polarized.alias("n_polarized"))
+
+
+def joint_sfs_facts(cohort: Cohort, chr: str | None, start: int | None, end: int | None, pop1: str, pop2: str, folded: bool = False, where: SiteFilter = NO_FILTER, **conditions) -> DataFrame:
+    """n_variants, max_ac1, max_ac2 and the dimensions dim1, dim2 of a joint spectrum."""
+    sites = where.apply(annotated(cohort, in_region(counts(cohort, pop1), chr, start, end), **conditions))
+    both = sites.join(_other(cohort, pop2, 2), "v").where("an2 >= 2")
+    out = both.agg(F.count(F.lit(1)).alias("n_variants"), F.coalesce(F.max("an"), F.lit(0)).alias("max_ac1"), F.coalesce(F.max("an2"), F.lit(0)).alias("max_ac2"))
+    size = lambda c: (F.floor(F.col(c) / 2) if folded else F.col(c)).cast("int") + 1
+    return out.select("*", size("max_ac1").alias("dim1"), size("max_ac2").alias("dim2"))
+
+
 def _spectrum(sites: DataFrame, folded: bool) -> DataFrame:
     top = sites.agg(F.max("an").alias("top"))
     bins = top.where("top IS NOT NULL").select(F.explode(F.sequence(F.lit(0), (F.floor(F.col("top") / 2) if folded else F.col("top")).cast("int"))).alias("bin"))

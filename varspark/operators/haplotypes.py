@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import ehh as e
 from ..functions import kernels as k
 from ..plans.cohort import SITE, Cohort
-from .select import covering_windows, in_region
+from .select import covering_windows, in_region, require_population
 
 # Lengths of the human chromosomes (GRCh38), for the share of the genome in runs.
 HG38 = {
@@ -30,6 +30,8 @@ def site_haplotypes(cohort: Cohort, pop: str, chr: str | None = None, start: int
 
     A genotype that is absent is homozygous reference. variant_type None takes all.
     """
+    if samples is None:
+        require_population(cohort, pop)
     own = cohort.sample.where(F.col("pop") == pop) if samples is None else cohort.sample.where(F.col("sample").isin(list(samples)))
     own = own.select("sample", (F.row_number().over(Window.orderBy("sample")) - 1).alias("i"))  # as many rows as samples
     n = own.count()

@@ -236,3 +236,100 @@ def principal_components(rows: np.ndarray, k_: int = 2) -> tuple[np.ndarray, np.
     value, vector = np.linalg.eigh(np.cov(x, rowvar=False))
     order = np.argsort(value)[::-1][:k_]
     return x @ vector[:, order], value[order] / value.sum()
+
+
+# ---------------------------------------------------------------- genes, annotations and individuals
+
+
+def gene_extent(cohort: Cohort) -> DataFrame:
+    """gene, chr, start, end: from the first to the last annotated variant of a gene on a chromosome."""
+    points = cohort.has_consequence.select("v", "gene").join(cohort.variant.select("v", "chr", "pos"), "v")
+    return points.groupBy("gene", "chr").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+
+
+def overlapping(left: DataFrame, right: DataFrame, bin_size: int = 100_000, margin: int = 0) -> DataFrame:
+    """Pairs of intervals (chr, start, end) that overlap or lie at most margin apart; right's columns start and end come back as start2, end2.
+
+    Both sides are spread over bins; a pair counts in the first bin that it shares.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size))).alias("_bin")
+    one = left.select("*", bins(F.col("start") - margin, F.col("end") + margin))
+    two = right.withColumnsRenamed({"start": "start2", "end": "end2"})
+    two = two.select("*", bins(F.col("start2"), F.col("end2")))
+    first = F.greatest(F.floor((F.col("start") - margin) / bin_size), F.floor(F.col("start2") / bin_size))
+    both = one.join(two, ["chr", "_bin"]).where((F.col("start") - margin <= F.col("end2")) & (F.col("end") + margin >= F.col("start2")) & (F.col("_bin") == first))
+    return both.drop("_bin")
+
+
+def gene_windows(cohort: Cohort, windows: DataFrame, columns: list[str], bin_size: int = 100_000) -> DataFrame:
+    """Of the windows that overlap a gene's extent: their number, and the largest and the mean value of the columns."""
+    both = overlapping(windows.select("chr", "start", "end", *columns), gene_extent(cohort), bin_size)
+    return both.groupBy("gene").agg(F.count(F.lit(1)).alias("n_windows"), *(f(x).alias(f"{n}_{x}") for x in columns for n, f in (("max", F.max), ("mean", F.avg))))
+
+
+# Impacts from the gravest on.
+IMPACTS = ["HIGH", "MODERATE", "LOW", "MODIFIER"]
+
+
+def peak_genes(cohort: Cohort, peaks: DataFrame, margin: int = 100_000, most: int = 30, bin_size: int = 100_000) -> DataFrame:
+    """Genes with variants in or near peaks (chr, start, end), each gene once a peak with its gravest variant; at most ``most`` a peak, gravest first, then by gene."""
+    grave = F.coalesce(F.array_position(F.array(*map(F.lit, IMPACTS)), F.col("impact")), F.lit(99))
+    points = cohort.has_consequence.select("v", "gene", "consequence", F.when(grave > 0, grave).otherwise(99).alias("rank")).join(cohort.variant.select("v", "chr", "pos"), "v")
+    near = peaks.select("chr", F.col("start").alias("peak_start"), F.col("end").alias("peak_end"), (F.col("start") - margin).alias("start"), (F.col("end") + margin).alias("end"))
+    hit = overlap(points, near, bin_size)
+    best = hit.groupBy("chr", "peak_start", "peak_end", "gene").agg(F.min(F.struct("rank", "pos", "consequence")).alias("best"))
+    place = F.row_number().over(Window.partitionBy("chr", "peak_start", "peak_end").orderBy("best.rank", "gene"))
+    out = best.withColumn("place", place).where(F.col("place") <= most).join(cohort.gene, "gene", "left")
+    return out.select("chr", "peak_start", "peak_end", "gene", "symbol", F.element_at(F.array(*map(F.lit, [*IMPACTS, None])), F.least(F.col("best.rank"), F.lit(5)).cast("int")).alias("impact"), "best.consequence", F.col("place").cast("long").alias("place"))
+
+
+def keyword_modules(names: DataFrame, column: str, modules: dict[str, list[str]], other: str = "other") -> DataFrame:
+    """names with a column module: the first whose keyword stands in the lower-cased name."""
+    out = F.lit(other)
+    for module, words in reversed(modules.items()):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(F.lower(F.col(column)), F.lit(w.lower()))
+        out = F.when(hit, module).otherwise(out)
+    return names.withColumn("module", out)
+
+
+def velocity(features: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """key, velocity: weighted mean of the z scores (over all rows) of the columns; weights may be negative."""
+    facts = features.agg(*(f(c).alias(f"{n}_{c}") for c in weights for n, f in (("m", F.avg), ("s", F.stddev_pop))))  # one row
+    z = lambda c: F.when(F.col(f"s_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / F.nullif(f"s_{c}", F.lit(0.0))).otherwise(0.0)
+    total = F.lit(0.0)
+    for c, w in weights.items():
+        total = total + F.lit(float(w)) * z(c)
+    return features.join(F.broadcast(facts)).select(key, (total / sum(map(abs, weights.values()))).alias("velocity"))
+
+
+def pathway_burden(cohort: Cohort, pathway_values: DataFrame, max_af: float = 0.1, impacts: tuple[str, ...] = ("HIGH", "MODERATE")) -> DataFrame:
+    """sample, pop, constrained, divergent: carried rare missense alleles' sites, by the mean value (pathway, fst) of the pathways that a variant lies in.
+
+    Sites at or below the lower quartile of these means are constrained, at or above the upper quartile divergent.
+    """
+    edges = cohort.has_consequence.where(F.col("impact").isin(list(impacts)))
+    lies = edges.select("v", "gene").distinct().join(cohort.in_pathway, "gene").select("v", "pathway").distinct().join(pathway_values.select("pathway", "fst"), "pathway")
+    mean = lies.groupBy("v").agg(F.avg("fst").alias("x"))
+    cuts = mean.agg(F.expr("percentile(x, 0.25)").alias("low"), F.expr("percentile(x, 0.75)").alias("high"))  # one row
+    missense = cohort.has_consequence.where(F.col("consequence") == "missense_variant").select("v").distinct()
+    af = cohort.variant_pop.groupBy("v").agg((F.sum("ac") / F.sum("an")).alias("af")).where(F.col("af") < max_af).select("v")
+    sites = mean.join(missense, "v", "left_semi").join(af, "v", "left_semi").join(F.broadcast(cuts))
+    carried = cohort.genotype.join(sites, "v").groupBy("sample").agg(F.count_if(F.col("x") <= F.col("low")).alias("constrained"), F.count_if(F.col("x") >= F.col("high")).alias("divergent"))
+    return cohort.sample.join(carried, "sample", "left").fillna(0).select("sample", "pop", "constrained", "divergent")
+
+
+def population_means(summary: DataFrame, columns: list[str]) -> DataFrame:
+    """Means over chromosomes of the per-chromosome statistics of each population, and the number of chromosomes."""
+    return summary.groupBy("pop").agg(F.count(F.lit(1)).alias("n_chromosomes"), *(F.avg(c).alias(c) for c in columns))
+
+
+def run_all(cohort: Cohort, columns: list[str]) -> DataFrame:
+    """stat, pop, pop2, chr, value: all statistics of all populations, pairs and chromosomes, a job for each kind instead of one for each combination."""
+    from .divergence import fst_matrix
+    from .diversity import pop_summary
+
+    one = pop_summary(cohort).select("chr", "pop", F.explode(F.array(*(F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x"))
+    two = fst_matrix(cohort, by=("chr",)).select("chr", "pop1", "pop2", F.explode(F.array(*(F.struct(F.lit(c).alias("stat"), F.col(c).alias("value")) for c in ("fst_hudson", "fst_wc", "dxy", "da")))).alias("x"))
+    return one.select("x.stat", "pop", F.lit(None).cast("string").alias("pop2"), "chr", "x.value").union(two.select("x.stat", "pop1", "pop2", "chr", "x.value"))

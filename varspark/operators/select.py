@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hwe import hwe_midp
@@ -30,8 +30,8 @@ class SiteFilter:
         if self.max_af is not None:
             out = out.where(af <= self.max_af)
         if self.min_call_rate is not None:
-            first = Window.partitionBy(*by).orderBy("pos", "variant_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            out = out.withColumn("_full", F.first("an").over(first)).where(F.col("an") / F.col("_full") >= self.min_call_rate).drop("_full")
+            full = out.groupBy(*by).agg(F.min_by("an", F.struct("pos", "variant_id")).alias("_full"))  # a row for each chromosome and population
+            out = out.join(full, list(by)).where(F.col("an") / F.col("_full") >= self.min_call_rate).drop("_full")
         if self.hwe_pvalue is not None:
             out = out.where(hwe_midp(F.col("het"), F.col("hom"), F.floor(F.col("an") / 2).cast("int") - F.col("het") - F.col("hom")) >= self.hwe_pvalue)
         if self.variant_type is not None:
@@ -75,17 +75,19 @@ def named_gene(cohort: Cohort, name: str) -> DataFrame:
 def counts(cohort: Cohort, pop: str, samples: list | None = None) -> DataFrame:
     """Allele counts of a population, or of a list of samples under the population's name (unknown ones are ignored)."""
     if samples is None:
-        known = cohort.variant_pop.where(F.col("pop") == pop)
-        return known
+        require_population(cohort, pop)
+        return cohort.variant_pop.where(F.col("pop") == pop)
     own = cohort.sample.where(F.col("sample").isin(list(samples))).withColumn("pop", F.lit(pop))
     return count_alleles(cohort.variant, cohort.genotype.join(own.select("sample"), "sample", "left_semi"), own)
 
 
 def require_population(cohort: Cohort, *pops: str) -> None:
-    known = {r.pop for r in cohort.population.collect()}  # as many rows as there are populations
+    """An error for a population that the cohort doesn't have."""
+    if "pops" not in cohort._kept:
+        cohort._kept["pops"] = {r["pop"] for r in cohort.population.select("pop").collect()}  # as many rows as there are populations
     for pop in pops:
-        if pop not in known:
-            raise ValueError(f"unknown population {pop!r}; there are {sorted(known)}")
+        if pop not in cohort._kept["pops"]:
+            raise ValueError(f"unknown population {pop!r}; there are {sorted(cohort._kept['pops'])}")
 
 
 def covering_windows(pos: Column, first: Column, window: int, step: int) -> Column:

@@ -49,14 +49,12 @@ def neighbors(edges: DataFrame, gene: str, hops: int = 1) -> DataFrame:
     if hops not in (1, 2, 3):
         raise ValueError("hops is 1, 2 or 3")
     end = next(c for c in edges.columns if c != "gene")
-    pairs = edges.join(edges.select(F.col("gene").alias("next"), end), end).where("gene <> next").groupBy("gene", "next").agg(F.count(F.lit(1)).alias("ways"))
-    out = pairs.where(F.col("gene") == gene).select(F.col("next").alias("g1"), F.col("ways"))
-    last = "g1"
-    for i in range(2, hops + 1):
-        step = pairs.select(F.col("gene").alias(last), F.col("next").alias(f"g{i}"), F.col("ways").alias("more"))
-        out = out.join(step, last).where(F.col(f"g{i}") != gene).withColumn("ways", F.col("ways") * F.col("more")).drop("more")
-        last = f"g{i}"
-    return out.groupBy(F.col(last).alias("gene")).agg(F.sum("ways").cast("long").alias("ways"))
+    near = edges.select(F.col("gene").alias("next"), end)
+    out = edges.where(F.col("gene") == gene).join(near, end).where(F.col("next") != gene).groupBy("next").agg(F.count(F.lit(1)).alias("ways"))
+    for _ in range(1, hops):  # from the genes reached so far, never from all pairs
+        step = out.select(F.col("next").alias("gene"), "ways").join(edges, "gene").join(near, end).where((F.col("next") != F.col("gene")) & (F.col("next") != gene))
+        out = step.groupBy("next").agg(F.sum("ways").alias("ways"))
+    return out.select(F.col("next").alias("gene"), F.col("ways").cast("long").alias("ways"))
 
 
 def ld_neighbors(cohort: Cohort, pairs: DataFrame, gene: str) -> DataFrame:

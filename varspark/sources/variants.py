@@ -57,9 +57,14 @@ class Vcf:
         row = self.lines.where(F.col("value").startswith(f"##INFO=<ID={key},")).first()
         return row and row[0]
 
-    def variants(self, include_filtered: bool = False, contigs: list[str] | None = None, region: tuple[str, int, int] | None = None) -> DataFrame:
-        """Bi-allelic records that pass: no other filter than PASS, a real alternative, a listed contig."""
-        out = self.records.where(~F.col("alt").isin(".", "<*>", "*") & ~F.contains(F.col("alt"), F.lit(",")))
+    def variants(self, include_filtered: bool = False, contigs: list[str] | None = None, region: tuple[str, int, int] | None = None, split: bool = False) -> DataFrame:
+        """Records that pass: no other filter than PASS, a real alternative, a listed contig. Of several alternatives each is a row (split), or the record goes.
+
+        allele is the number of the alternative in the record; calls of the others count as reference.
+        """
+        alts = F.split("alt", ",")
+        out = self.records.where(F.lit(split) | (F.size(alts) == 1)).select(*(c for c in self.records.columns if c != "alt"), F.posexplode(alts).alias("allele", "alt"))
+        out = out.where(~F.col("alt").isin(".", "<*>", "*")).withColumn("allele", F.col("allele") + 1)
         if not include_filtered:
             out = out.where(F.col("filter").isin("PASS", "."))
         if contigs is not None:
@@ -71,9 +76,9 @@ class Vcf:
     def calls(self, variants: DataFrame) -> DataFrame:
         """v, i (place of the sample), a0, a1 (alleles; null missing), haploid."""
         key = F.array_position(F.split("format", ":"), "GT") - 1
-        every = variants.where(key >= 0).select(F.col("variant_id").alias("v"), key.cast("int").alias("k"), F.posexplode("calls").alias("i", "call"))
+        every = variants.where(key >= 0).select(F.col("variant_id").alias("v"), "allele", key.cast("int").alias("k"), F.posexplode("calls").alias("i", "call"))
         parts = F.split(F.get(F.split("call", ":"), F.col("k")), "[|/]")
-        allele = lambda j: F.when(F.get(parts, F.lit(j)) != ".", F.get(parts, F.lit(j)).cast("int"))
+        allele = lambda j: F.when(F.get(parts, F.lit(j)) != ".", (F.get(parts, F.lit(j)).cast("int") == F.col("allele")).cast("int"))
         return every.select("v", "i", allele(0).alias("a0"), allele(1).alias("a1"), (F.size(parts) == 1).alias("haploid"))
 
 
@@ -93,19 +98,42 @@ def call_rate(calls: DataFrame) -> DataFrame:
     return calls.groupBy("v").agg((1 - F.avg(missing.cast("double"))).alias("call_rate"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """pos, base of a file with one contig. Lines are placed by the lengths of those before, which one aggregation by line gives."""
-    from pyspark.sql import Window
-
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")).where(~F.col("value").startswith(">"))
-    # a contig is at most some million lines of one number each
-    placed = lines.withColumn("before", F.coalesce(F.sum(F.length("value")).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.select("before", F.posexplode(F.split("value", "")).alias("i", "base")).where("base <> ''").select((F.col("before") + F.col("i") + 1).alias("pos"), "base")
+def read_fasta(spark: SparkSession, path: str, contig: str | None = None) -> DataFrame:
+    """chr, start (from 0), bases: a row for each line of the contigs; contig names them all.
 
+    Lines are placed by the lengths of those before them in their split of the file, and each split by what the splits before it end with.
+    """
+    from pyspark.sql import Window
 
-def polarise(variants: DataFrame, bases: DataFrame) -> DataFrame:
-    """ancestral (REF, ALT or null) and is_polarized (the ancestral base is sure: upper case) from the base at a variant's position."""
-    out = variants.join(bases, "pos", "left")
+    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"), F.spark_partition_id().alias("part")).where("length(value) > 0")
+    head = F.col("value").startswith(">")
+    order = Window.partitionBy("part").orderBy("line")
+    name = F.when(head, F.regexp_extract("value", r"^>\s*(\S+)", 1))
+    marked = text.select("part", "line", "value", head.alias("head"), F.last(name, True).over(order).alias("chr"), F.count(name).over(order).alias("n"))
+    size = F.when(F.col("head"), 0).otherwise(F.length("value"))
+    ends = marked.groupBy("part").agg(F.max("n").alias("n"), F.sum(F.when(F.col("n") == 0, size).otherwise(0)).alias("lead"), F.max_by("chr", "line").alias("chr"))
+    tail = marked.join(ends.select("part", F.col("n").alias("last")), "part").where("n = last").groupBy("part").agg(F.sum(size).alias("tail"))
+    carry, known, done = [], None, 0
+    for r in ends.join(tail, "part").orderBy("part").collect():  # a row for each split of the file
+        carry.append((r.part, known, done))
+        known, done = (r.chr, r.tail) if r.n else (known, done + r.lead)
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("part", "n").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = marked.withColumn("before", before).where(~F.col("head")).join(F.broadcast(spark.createDataFrame(carry, "part int, known string, done long")), "part")
+    here = F.coalesce("chr", "known") if contig is None else F.lit(contig)
+    return placed.select(here.alias("chr"), (F.col("before") + F.when(F.col("n") == 0, F.col("done")).otherwise(0)).cast("long").alias("start"), F.col("value").alias("bases"))
+
+
+def polarise(variants: DataFrame, lines: DataFrame, bin_size: int = 1000) -> DataFrame:
+    """ancestral (REF, ALT or null) and is_polarized (the ancestral base is sure: upper case) from the base at a variant's position on its contig.
+
+    lines: of read_fasta. Lines meet the variants of their bins, and are never taken apart into bases.
+    """
+    end = F.col("start") + F.length("bases") - 1
+    spread = lines.select("chr", "start", "bases", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(end / bin_size))).alias("_bin"))
+    near = variants.select("v", "chr", F.col("pos").alias("_pos"), F.floor((F.col("pos") - 1) / bin_size).alias("_bin")).join(spread, ["chr", "_bin"])
+    at = F.col("_pos") - 1 - F.col("start")
+    found = near.where((at >= 0) & (at < F.length("bases"))).select("v", F.substring("bases", (at + 1).cast("int"), F.lit(1)).alias("base"))
+    out = variants.join(found, "v", "left")
     base = F.upper("base")
     ancestral = F.when(base.isin(".", "N", "-"), None).when(base == F.substring("ref", 1, 1), "REF").when(base == F.substring("alt", 1, 1), "ALT")
     sure = F.col("base").rlike("^[ACGT]$")
