@@ -11,7 +11,6 @@ from .operators import verbs as vb
 from .queries_fast import FST_SQL, ORACLE, PBS_SQL, QUERIES, WINDOW_SQL, _r, pair_sql, query, rounded, wide, windowed_sql
 
 __all__ = ["ORACLE", "QUERIES"]
-_kept: dict = {}
 
 
 def _fix(x: str) -> str:
@@ -149,13 +148,13 @@ def roh_window(c):
 
 def scores(c):
     """Site Fst of POP0 against POP1 and POP2, saved as scores of POP0."""
-    if id(c) not in _kept:
+    if "scores" not in c._kept:
         parts = []
         for stat, pop in (("fst1", "POP1"), ("fst2", "POP2")):
             site = ph.k.with_pair_terms(ph._pair_sites(c, "POP0", pop), "1", "2").join(c.variant.select("v", "variant_id", "chr", "pos"), "v")
             parts.append(site.select("variant_id", "chr", "pos", F.lit(stat).alias("stat"), F.lit("POP0").alias("pop"), F.round(ph.k.ratio(F.col("hn"), F.col("hd")), 9).alias("value")))
-        _kept[id(c)] = parts[0].union(parts[1]).persist()
-    return _kept[id(c)]
+        c._kept["scores"] = parts[0].union(parts[1]).persist()
+    return c._kept["scores"]
 
 
 SCORES = f"""{wide()}, sc AS (SELECT v, variant_id, chr, pos, {pair_sql('1', '2')}, {pair_sql('1', '3', '13')} FROM wide),
