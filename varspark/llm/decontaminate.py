@@ -217,14 +217,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, match: int = 4, share:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-size // slice_bytes)
     schema = "item_id long, coverage double, _split long, _file long, _row long"
-    hits = spark.createDataFrame([], schema)
+    hits, parts = spark.createDataFrame([], schema), []
     for i in range(slices):
         part = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").collect()  # slice_bytes on average
         items = spark.sparkContext.broadcast(Items([tuple(r) for r in part], match))
         found = rows.select(names["text"], "_split", "_file", "_row").mapInArrow(_search(items, names["text"], share), schema)
-        hits = hits.union(c.keep(found, "op10-hits"))
+        parts.append(c.keep(found, "op10-hits"))
+        hits = hits.union(parts[-1])
         items.destroy()
     told = c.deliver(hits, "op10-told", rows)
+    c.drop(*parts)
     plain = [f for f in rows.schema.fields if f.name in names.values()]
     out = rows.mapInArrow(_append(told), T.StructType([*plain, *MADE.fields]))
     return out.toDF(*docs.columns, *MADE.names)

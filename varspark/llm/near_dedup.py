@@ -216,15 +216,17 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = c.keep(both.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")), "op6-both")
     labels = c.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "op6-labels")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salts, kept = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label", salts), ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
         out = c.keep(step.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("changed")), "op6-labels")
+        c.drop(kept)
         if not out.where("changed").head(1):
+            c.drop(both)
             return out.select("node", "label")
-        labels = out.select("node", "label")
+        labels, kept = out.select("node", "label"), out
 
 
 # ---------------------------------------------------------------- buckets gone through again

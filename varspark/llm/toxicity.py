@@ -357,15 +357,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         share = min(max(bad / total, 1e-9), 1 - 1e-9) if total else 0
         return np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))) if total else -30.0, {}
     texts, shards = own.select("doc_id", "text", "_split"), c.shard_count(own)
-    counted = texts.mapInArrow(_count(c.deliver(there, "op3-told", own), shards), "shard long, body binary")
+    labelled = c.deliver(there, "op3-told", own)
+    counted = texts.mapInArrow(_count(labelled, shards), "shard long, body binary")
     told = c.keep(counted.groupBy("shard").applyInArrow(_telling(docs_of, toxic_of), "fold long, h long, z double"), "op3-telling")
     mined = [[(r.h, r.z) for r in told.where(F.col("fold") == f).orderBy(F.abs("z").desc(), "h").limit(FEATURES).collect()] for f in (0, 1)]
     known = np.unique(np.concatenate([general(), *(np.array([h for h, _ in x], np.int64) for x in mined)]))
     few = there if total <= sample else there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # SAMPLE rows with a byte for each feature
-    got = texts.mapInArrow(_sample(c.deliver(few, "op3-few", own), known), "toxic binary, fold binary, words binary, x binary, patterns binary").collect()
+    sampled = c.deliver(few, "op3-few", own)
+    got = texts.mapInArrow(_sample(sampled, known), "toxic binary, fold binary, words binary, x binary, patterns binary").collect()
     x, seen, words, folds, toxic = (np.frombuffer(b"".join(r[k] for r in got), kind) for k, kind in (("x", "u1"), ("patterns", "u1"), ("words", "<i8"), ("fold", "u1"), ("toxic", "u1")))
     del got
+    c.drop(there, told)
+    c.drop_told(own.sparkSession, labelled, sampled)
     x, seen = x.reshape(-1, len(known)), seen.reshape(-1, len(PATTERNS))
     # an order that doesn't follow from how rows were dealt to tasks
     order = np.lexsort((toxic, folds, c.mix((x @ c.ODD_ROW[: len(known)]) + (seen @ c.ODD_ROW[: len(PATTERNS)])), words))
