@@ -20,7 +20,7 @@ def test_convergent_sweeps(spark):
                 if chr == w.chr and w.start <= pos <= w.end:
                     best[gene][p] = max(w.h12, best[gene].get(p, 0))
     want = {(g, len(x), max(x.values())) for g, x in best.items() if len(x) >= 2}
-    assert {tuple(r) for r in entry.queries()["convergent_sweeps_all"](spark, SF).select("gene", "n_groups", "max_h12").collect()} == want
+    assert {tuple(r) for r in entry.queries()["convergent_sweeps"](spark, SF).select("gene", "n_groups", "max_h12").collect()} == want
     assert max(n for _, n, _ in want) > 1
 
 
@@ -31,7 +31,7 @@ def test_temporal_strata(spark):
         w = rounded(dv.genome_scan(c, p, 50_000, 25_000)).collect()
         t, f = ([x[k] for x in w if x[k] is not None] for k in ("tajima_d", "fay_wu_h"))
         share[p] = mean(x <= 0.5 for x in t), mean(x <= -0.5 for x in f)
-    out = {r.population: r for r in entry.queries()["temporal_strata_all"](spark, SF).collect()}
+    out = {r.population: r for r in entry.queries()["temporal_strata"](spark, SF).collect()}
     assert sorted(out) == POPS and any(abs(r.z_recent) > 0.1 for r in out.values())
     for i, name in enumerate(("recent", "old")):
         x = [s[i] for s in share.values()]

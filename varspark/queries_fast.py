@@ -70,46 +70,46 @@ def diversity_sql(sites: str, with_: str = "") -> str:
     return f", {with_}{site_sql(sites)} SELECT {STATS_SQL.format(he='het_exp', ho='het_obs', fis='fis')} FROM stats"
 
 
-REGION = "(SELECT * FROM variant_pop WHERE chr = 'chr1' AND pos BETWEEN 1000 AND 400000 AND pop = 'POP0'{more})"
+SITES = "(SELECT * FROM variant_pop WHERE pop = 'POP0'{more})"
 
 
-@query(diversity_sql(REGION.format(more="")))
+@query(diversity_sql(SITES.format(more=" AND chr = 'chr1' AND pos BETWEEN 1000 AND 400000")))
 def diversity_region(c):
     return dv.diversity(c, "chr1", 1000, 400_000, "POP0")
 
 
-@query(diversity_sql(REGION.format(more=" AND v IN (SELECT v FROM has_consequence WHERE consequence = 'missense_variant')")))
+@query(diversity_sql(SITES.format(more=" AND v IN (SELECT v FROM has_consequence WHERE consequence = 'missense_variant')")))
 def diversity_missense(c):
-    return dv.diversity(c, "chr1", 1000, 400_000, "POP0", consequence="missense_variant")
+    return dv.diversity(c, None, None, None, "POP0", consequence="missense_variant")
 
 
-@query(diversity_sql(REGION.format(more=" AND v IN (SELECT v FROM has_consequence JOIN in_pathway USING (gene) WHERE consequence = 'synonymous_variant' AND pathway = 'ASIA')")))
+@query(diversity_sql(SITES.format(more=" AND v IN (SELECT v FROM has_consequence JOIN in_pathway USING (gene) WHERE consequence = 'synonymous_variant' AND pathway = 'ASIA')")))
 def diversity_pathway(c):
-    return dv.diversity(c, "chr1", 1000, 400_000, "POP0", consequence="synonymous_variant", pathway="ASIA")
+    return dv.diversity(c, None, None, None, "POP0", consequence="synonymous_variant", pathway="ASIA")
 
 
-@query(diversity_sql(REGION.format(more=" AND v IN (SELECT v FROM has_consequence WHERE gene = 'G3')")))
+@query(diversity_sql(SITES.format(more=" AND v IN (SELECT v FROM has_consequence WHERE gene = 'G3')")))
 def diversity_gene(c):
-    return dv.diversity(c, "chr1", 1000, 400_000, "POP0", gene="G3")
+    return dv.diversity(c, None, None, None, "POP0", gene="G3")
 
 
-@query(diversity_sql(REGION.format(more=" AND false")))
+@query(diversity_sql(SITES.format(more=" AND false")))
 def diversity_empty(c):
     return dv.diversity(c, "chr1", 1, 10, "POP0")
 
 
-@query(diversity_sql(REGION.format(more=" AND 1.0 * ac / an >= 0.05 AND 1.0 * ac / an <= 0.3 AND variant_type = 'SNP'")))
+@query(diversity_sql(SITES.format(more=" AND 1.0 * ac / an >= 0.05 AND 1.0 * ac / an <= 0.3 AND variant_type = 'SNP'")))
 def diversity_filtered(c):
-    return dv.diversity(c, "chr1", 1000, 400_000, "POP0", SiteFilter(min_af=0.05, max_af=0.3, min_call_rate=0.9, variant_type="SNP"))
+    return dv.diversity(c, None, None, None, "POP0", SiteFilter(min_af=0.05, max_af=0.3, min_call_rate=0.9, variant_type="SNP"))
 
 
 _subset = "own AS (SELECT sample FROM sample WHERE sample IN (0, 1, 2, 7, 9, 31)), "
-_subset += "few AS (SELECT variant.*, 12 AS an, CAST(coalesce(sum(gt), 0) AS INTEGER) AS ac, CAST(count(*) FILTER (gt = 1) AS INTEGER) AS het FROM variant LEFT JOIN (genotype JOIN own USING (sample)) USING (v) WHERE chr = 'chr1' AND pos BETWEEN 1000 AND 400000 GROUP BY ALL),"
+_subset += "few AS (SELECT variant.*, 12 AS an, CAST(coalesce(sum(gt), 0) AS INTEGER) AS ac, CAST(count(*) FILTER (gt = 1) AS INTEGER) AS het FROM variant LEFT JOIN (genotype JOIN own USING (sample)) USING (v) GROUP BY ALL),"
 
 
 @query(diversity_sql("few", _subset))
 def diversity_subset(c):
-    return dv.diversity(c, "chr1", 1000, 400_000, "POP0", samples=[0, 1, 2, 7, 9, 31, 999, 7])
+    return dv.diversity(c, None, None, None, "POP0", samples=[0, 1, 2, 7, 9, 31, 999, 7])
 
 
 _hwe = """lnp AS (SELECT v, het, 2 * least(hom, an // 2 - het - hom) + het AS rare, an // 2 AS n FROM variant_pop WHERE pop = 'POP0'),
@@ -117,9 +117,9 @@ alt AS (SELECT v, het, h, exp(-lgamma(h + 1) - lgamma((rare - h) / 2.0 + 1) - lg
 pv AS (SELECT v, (sum(p) FILTER (p < s * (1 - 1e-9)) + 0.5 * any_value(s)) / sum(p) AS a, 0.5 * any_value(s) / sum(p) AS b FROM alt JOIN (SELECT v, p AS s FROM alt WHERE h = het) USING (v) GROUP BY v),"""
 
 
-@query(diversity_sql(REGION.format(more=" AND v IN (SELECT v FROM pv WHERE coalesce(a, b) >= 0.2 UNION SELECT v FROM lnp WHERE rare = 0)"), _hwe))
+@query(diversity_sql(SITES.format(more=" AND v IN (SELECT v FROM pv WHERE coalesce(a, b) >= 0.2 UNION SELECT v FROM lnp WHERE rare = 0)"), _hwe))
 def diversity_hwe(c):
-    return dv.diversity(c, "chr1", 1000, 400_000, "POP0", SiteFilter(hwe_pvalue=0.2))
+    return dv.diversity(c, None, None, None, "POP0", SiteFilter(hwe_pvalue=0.2))
 
 
 @query(f", {site_sql('variant_pop', 'pop, chr')} SELECT pop, chr, {STATS_SQL.format(he='mean_he', ho='mean_ho', fis='mean_fis')} FROM stats")
@@ -163,14 +163,14 @@ _len = lambda p: f"-ln(greatest(1e-10, 1 - sum(wn{p}) / sum(wd{p})))"  # noqa: E
 PBS_SQL = _r(f"({_len('')} + {_len('13')} - {_len('23')}) / 2", "pbs")
 
 
-@query(f", {wide('chr = $$chr1$$ AND pos <= 400000')}, p AS (SELECT {pair_sql('1', '2')} FROM wide) SELECT {FST_SQL}, 0.0 AS pbs, count(*) AS n_variants FROM p")
+@query(f", {wide()}, p AS (SELECT {pair_sql('1', '2')} FROM wide) SELECT {FST_SQL}, 0.0 AS pbs, count(*) AS n_variants FROM p")
 def divergence_pair(c):
-    return dg.divergence(c, "chr1", None, 400_000, "POP0", "POP1")
+    return dg.divergence(c, None, None, None, "POP0", "POP1")
 
 
-@query(f", {wide('chr = $$chr1$$ AND pos <= 400000')}, p AS (SELECT {pair_sql('1', '2')}, {pair_sql('1', '3', '13')}, {pair_sql('2', '3', '23')} FROM wide) SELECT {FST_SQL}, {PBS_SQL}, count(*) AS n_variants FROM p")
+@query(f", {wide()}, p AS (SELECT {pair_sql('1', '2')}, {pair_sql('1', '3', '13')}, {pair_sql('2', '3', '23')} FROM wide) SELECT {FST_SQL}, {PBS_SQL}, count(*) AS n_variants FROM p")
 def divergence_pbs(c):
-    return dg.divergence(c, "chr1", None, 400_000, "POP0", "POP1", "POP2")
+    return dg.divergence(c, None, None, None, "POP0", "POP1", "POP2")
 
 
 _pairs = "(SELECT a.pop AS pop1, b.pop AS pop2, a.v, a.chr, a.ac AS ac1, a.an AS an1, a.het AS het1, b.ac AS ac2, b.an AS an2, b.het AS het2 FROM variant_pop a JOIN variant_pop b ON a.v = b.v AND a.pop < b.pop)"
@@ -186,27 +186,27 @@ def conditioned_fst(c):
     return dg.fst_matrix(c, consequence="missense_variant")
 
 
-_sfs = " SELECT CAST(bin AS INTEGER) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(range(0, {top} + 1)) AS bin) LEFT JOIN (SELECT {value} AS bin, count(*) AS n FROM variant_pop WHERE chr = 'chr1' AND pop = 'POP0' GROUP BY 1) USING (bin)"
+_sfs = " SELECT CAST(bin AS INTEGER) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(range(0, {top} + 1)) AS bin) LEFT JOIN (SELECT {value} AS bin, count(*) AS n FROM variant_pop WHERE pop = 'POP0' GROUP BY 1) USING (bin)"
 
 
 @query(_sfs.format(top=20, value="least(ac, an - ac)"))
 def sfs_folded(c):
-    return dg.sfs(c, "chr1", None, None, "POP0", folded=True)
+    return dg.sfs(c, None, None, None, "POP0", folded=True)
 
 
 @query(_sfs.format(top=40, value="CASE ancestral WHEN 'ALT' THEN an - ac ELSE ac END"))
 def sfs_unfolded(c):
-    return dg.sfs(c, "chr1", None, None, "POP0")
+    return dg.sfs(c, None, None, None, "POP0")
 
 
-@query(f", {wide('chr = $$chr1$$')} SELECT ac1 AS bin1, ac2 AS bin2, count(*) AS n FROM wide GROUP BY 1, 2")
+@query(f", {wide()} SELECT ac1 AS bin1, ac2 AS bin2, count(*) AS n FROM wide GROUP BY 1, 2")
 def joint_sfs_unfolded(c):
-    return dg.joint_sfs(c, "chr1", None, None, "POP0", "POP1")
+    return dg.joint_sfs(c, None, None, None, "POP0", "POP1")
 
 
-@query(f", {wide('chr = $$chr1$$')} SELECT least(ac1, 40 - ac1) AS bin1, least(ac2, 40 - ac2) AS bin2, count(*) AS n FROM wide GROUP BY 1, 2")
+@query(f", {wide()} SELECT least(ac1, 40 - ac1) AS bin1, least(ac2, 40 - ac2) AS bin2, count(*) AS n FROM wide GROUP BY 1, 2")
 def joint_sfs_folded(c):
-    return dg.joint_sfs(c, "chr1", None, None, "POP0", "POP1", folded=True)
+    return dg.joint_sfs(c, None, None, None, "POP0", "POP1", folded=True)
 
 
 @query(" SELECT pop, CAST(CASE ancestral WHEN 'REF' THEN ac ELSE an - ac END AS INTEGER) AS bin, count(*) AS n FROM variant_pop WHERE ancestral IS NOT NULL GROUP BY 1, 2")

@@ -23,10 +23,10 @@ def _fix(x: str) -> str:
 HAP = """focal AS (SELECT v, chr, pos, variant_id, ac, ac / 40.0 AS af, row_number() OVER (PARTITION BY chr ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY chr) AS n FROM variant_pop WHERE pop = 'POP0' AND {where}),
 hap AS (SELECT f.chr, f.pos, f.v, f.i, f.n, CAST(h AS INTEGER) AS h, CASE WHEN gt = 2 OR (gt = 1 AND phase = h % 2) THEN 1 ELSE 0 END AS a FROM focal f CROSS JOIN range(40) t(h) LEFT JOIN genotype g ON g.v = f.v AND g.sample = (h // 2) * 5)"""
 
-_ld = f""", {HAP.format(where="chr = 'chr1' AND pos <= 200000 AND ac BETWEEN 1 AND 39")},
-dos AS (SELECT v, pos, h // 2 AS s, sum(a) AS d FROM hap GROUP BY 1, 2, 3),
-pr AS (SELECT x.v AS v1, y.v AS v2, y.pos - x.pos AS distance, count(*) AS m, sum(x.d) AS sx, sum(y.d) AS sy, sum(x.d * x.d) AS sxx, sum(y.d * y.d) AS syy, sum(x.d * y.d) AS sxy FROM dos x JOIN dos y ON x.s = y.s AND y.pos > x.pos AND y.pos - x.pos <= 50000 GROUP BY 1, 2, 3),
-hh AS (SELECT x.v AS v1, y.v AS v2, sum(x.a) / 40.0 AS p, sum(y.a) / 40.0 AS q, sum(x.a * y.a) / 40.0 AS pq FROM hap x JOIN hap y ON x.h = y.h AND y.pos > x.pos AND y.pos - x.pos <= 50000 GROUP BY 1, 2),
+_ld = f""", {HAP.format(where="ac BETWEEN 1 AND 39")},
+dos AS (SELECT chr, v, pos, h // 2 AS s, sum(a) AS d FROM hap GROUP BY 1, 2, 3, 4),
+pr AS (SELECT x.v AS v1, y.v AS v2, y.pos - x.pos AS distance, count(*) AS m, sum(x.d) AS sx, sum(y.d) AS sy, sum(x.d * x.d) AS sxx, sum(y.d * y.d) AS syy, sum(x.d * y.d) AS sxy FROM dos x JOIN dos y ON x.chr = y.chr AND x.s = y.s AND y.pos > x.pos AND y.pos - x.pos <= 50000 GROUP BY 1, 2, 3),
+hh AS (SELECT x.v AS v1, y.v AS v2, sum(x.a) / 40.0 AS p, sum(y.a) / 40.0 AS q, sum(x.a * y.a) / 40.0 AS pq FROM hap x JOIN hap y ON x.chr = y.chr AND x.h = y.h AND y.pos > x.pos AND y.pos - x.pos <= 50000 GROUP BY 1, 2),
 r AS (SELECT a.variant_id AS variant1, b.variant_id AS variant2, 1.0 * (m * sxy - sx * sy) * (m * sxy - sx * sy) / ((m * sxx - sx * sx) * (m * syy - sy * sy)) AS r2,
     abs(pq - p * q) / CASE WHEN pq - p * q >= 0 THEN least(p * (1 - q), q * (1 - p)) ELSE least(p * q, (1 - p) * (1 - q)) END AS dp, distance
     FROM pr JOIN hh USING (v1, v2) JOIN focal a ON a.v = v1 JOIN focal b ON b.v = v2 WHERE m * sxx > sx * sx AND m * syy > sy * sy)
@@ -35,7 +35,7 @@ SELECT variant1, variant2, {_fix('r2')} AS r2, {_fix('least(dp, 1)')} AS dprime,
 
 @query(_ld)
 def ld_pairs(c):
-    return hp.ld(c, "chr1", None, 200_000, "POP0", max_dist=50_000, r2_threshold=0.1)
+    return hp.ld(c, None, None, None, "POP0", max_dist=50_000, r2_threshold=0.1)
 
 
 NSL = """pairs AS (SELECT x.chr, x.i, x.n, x.h AS h1, y.h AS h2, x.a, x.a = y.a AS same FROM hap x JOIN hap y ON x.chr = y.chr AND x.i = y.i AND x.h < y.h),
@@ -203,7 +203,7 @@ for _n in (1, 2, 3):
 
 @query(_ld.replace("SELECT variant1, variant2, round", "SELECT * FROM (SELECT variant1, variant2, round").replace(" FROM r WHERE r2 >= 0.1", " FROM r WHERE r2 >= 0.1) z").replace("\nSELECT * FROM (", "\n, zz AS (").replace(") z", ")") + ", bb AS (SELECT variant1 AS a, variant2 AS b, r2 FROM zz UNION ALL SELECT variant2, variant1, r2 FROM zz), nm AS (SELECT variant_id, gene FROM has_consequence JOIN variant USING (v)) SELECT y.gene, max(r2) AS max_r2 FROM bb JOIN nm x ON x.variant_id = a JOIN nm y ON y.variant_id = b WHERE x.gene = 'G3' AND y.gene <> 'G3' GROUP BY 1")
 def neighbors_ld_1(c):
-    return vb.ld_neighbors(c, hp.ld(c, "chr1", None, 200_000, "POP0", max_dist=50_000, r2_threshold=0.1), "G3")
+    return vb.ld_neighbors(c, ld_pairs(c), "G3")
 
 
 @query(f" SELECT variant_id, chr, pos, variant_type, ac, an, {_fix('1.0 * ac / an')} AS af FROM variant_pop WHERE pop = 'POP1' AND chr = 'chr3' AND 1.0 * ac / an BETWEEN 0.1 AND 0.4 AND v IN (SELECT v FROM has_consequence WHERE consequence = 'missense_variant')")
@@ -216,9 +216,9 @@ def extract_samples(c):
     return vb.extract_samples(c, "POP2")
 
 
-@query(" SELECT variant_id, s.sample, coalesce(gt, 0) AS dosage, CASE WHEN gt = 2 THEN '1|1' WHEN gt = 1 AND phase = 0 THEN '1|0' WHEN gt = 1 THEN '0|1' ELSE '0|0' END AS genotype FROM (SELECT * FROM variant WHERE chr = 'chr1' AND pos <= 30000) w CROSS JOIN (SELECT sample FROM sample WHERE pop = 'POP0') s LEFT JOIN genotype g ON g.v = w.v AND g.sample = s.sample")
+@query(" SELECT variant_id, s.sample, coalesce(gt, 0) AS dosage, CASE WHEN gt = 2 THEN '1|1' WHEN gt = 1 AND phase = 0 THEN '1|0' WHEN gt = 1 THEN '0|1' ELSE '0|0' END AS genotype FROM variant w CROSS JOIN (SELECT sample FROM sample WHERE pop = 'POP0') s LEFT JOIN genotype g ON g.v = w.v AND g.sample = s.sample")
 def extract_genotypes(c):
-    return vb.extract_genotypes(c, "chr1", 1, 30_000, "POP0")
+    return vb.extract_genotypes(c, None, None, None, "POP0")
 
 
 @query(" SELECT 'variant' AS label, count(*) AS n FROM variant" + "".join(f" UNION ALL SELECT '{t}', count(*) FROM {t}" for t in ("sample", "genotype", "gene", "has_consequence", "in_pathway", "has_go_term")) + " UNION ALL SELECT 'population', count(DISTINCT pop) FROM sample")
@@ -391,16 +391,6 @@ def sweep_types(c):
     return ph.sweep_type(rounded(hp.garud_h(c, "POP0", 50_000, 25_000)), least=0.026, hard=0.6).select("chr", "start", "h12", "h2_h1", "sweep_type")
 
 
-@query(GARUD.replace("50_000", "50000").replace(", ", ", ", 1) + ", g AS (SELECT DISTINCT gene, h12 FROM has_consequence JOIN variant USING (v) JOIN garud USING (chr) WHERE pos BETWEEN start AND \"end\" AND h12 >= 0.03) SELECT gene, CAST(1 AS BIGINT) AS n_groups, max(h12) AS max_h12 FROM g GROUP BY 1")
-def convergent_sweeps(c):
-    return ph.convergent_sweeps(c, rounded(hp.garud_h(c, "POP0", 50_000, 25_000)), 0.03, 1)
-
-
-@query(_scan2 + f", sh AS (SELECT population, avg(CAST(tajima_d <= 0.5 AS INT)) AS recent, avg(CAST(fay_wu_h <= -0.5 AS INT)) AS old FROM win GROUP BY 1) SELECT population, {_fix('recent')} AS recent, {_fix('old')} AS old, 0.0 AS z_recent, 0.0 AS z_old, 'recent' AS layer FROM sh")
-def temporal_strata(c):
-    return ph.temporal_strata(scan2(c), {"recent": ("tajima_d", 0.5), "old": ("fay_wu_h", -0.5)})
-
-
 @query(f"{_gene}, pf AS (SELECT pathway, {_fst0} AS fst, count(*) AS n_variants FROM (SELECT DISTINCT pathway, v FROM in_pathway JOIN has_consequence USING (gene)) JOIN p USING (v) GROUP BY 1 HAVING count(*) >= 5), s AS (SELECT *, (row_number() OVER (ORDER BY fst, pathway) - 1) / (count(*) OVER () - 1.0) AS a, (row_number() OVER (ORDER BY n_variants, pathway) - 1) / (count(*) OVER () - 1.0) AS b FROM pf) SELECT pathway, fst, n_variants, {_fix('a')} AS fst_scaled, {_fix('b')} AS n_variants_scaled, {_fix('(a + b) / 2')} AS composite, CAST(a > 0.5 AS INT) + CAST(b > 0.5 AS INT) AS n_lines, CASE WHEN a > 0.5 AND b > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM s")
 def synthesis(c):
     return ph.synthesis(rounded(ph.pathway_fst(c, "POP0", "POP1")), ["fst", "n_variants"], "pathway")
@@ -420,36 +410,6 @@ def coselection(c):
     return ph.coselection(pi, "chr", "pop", "x", 0.35)
 
 
-# ---------------------------------------------------------------- region queries over the whole table
-
-
-@query()
-def ld_pairs_all(c):
-    return hp.ld(c, None, None, None, "POP0", max_dist=50_000, r2_threshold=0.1)
-
-
-@query()
-def neighbors_ld_1_all(c):
-    return vb.ld_neighbors(c, ld_pairs_all(c), "G3")
-
-
-@query()
-def extract_genotypes_all(c):
-    return vb.extract_genotypes(c, None, None, None, "POP0")
-
-
-_whole = {
-    "chr = 'chr1' AND pos <= 200000 AND ": "", " WHERE chr = 'chr1' AND pos <= 30000": "",
-    "SELECT v, pos, h // 2 AS s, sum(a) AS d FROM hap GROUP BY 1, 2, 3": "SELECT chr, v, pos, h // 2 AS s, sum(a) AS d FROM hap GROUP BY 1, 2, 3, 4",
-    "ON x.s = y.s": "ON x.chr = y.chr AND x.s = y.s", "ON x.h = y.h AND y.pos": "ON x.chr = y.chr AND x.h = y.h AND y.pos",
-}
-for _name in ("ld_pairs", "neighbors_ld_1", "extract_genotypes"):
-    _sql = ORACLE[_name]
-    for _part, _new in _whole.items():
-        _sql = _sql.replace(_part, _new)
-    ORACLE[f"{_name}_all"] = _sql
-
-
 # ---------------------------------------------------------------- comparisons over all populations
 
 
@@ -462,11 +422,11 @@ def _each_population(f):
 
 
 @query()
-def convergent_sweeps_all(c):
+def convergent_sweeps(c):
     return ph.convergent_sweeps(c, rounded(_each_population(lambda p: hp.garud_h(c, p, 50_000, 25_000))), 0.03, 2)
 
 
 @query()
-def temporal_strata_all(c):
+def temporal_strata(c):
     windows = _each_population(lambda p: dv.genome_scan(c, p, 50_000, 25_000).select("population", "tajima_d", "fay_wu_h"))
     return ph.temporal_strata(rounded(windows), {"recent": ("tajima_d", 0.5), "old": ("fay_wu_h", -0.5)})

@@ -74,14 +74,14 @@ def saved_round_trip(c):
 # ---------------------------------------------------------------- spectra
 
 
-@query(" SELECT count(*) AS n_variants, coalesce(max(an), 0) AS max_ac, count(ancestral) AS n_polarized FROM variant_pop WHERE pop = 'POP0' AND chr = 'chr1'")
+@query(" SELECT count(*) AS n_variants, coalesce(max(an), 0) AS max_ac, count(ancestral) AS n_polarized FROM variant_pop WHERE pop = 'POP0'")
 def sfs_facts(c):
-    return dg.sfs_facts(c, "chr1", None, None, "POP0")
+    return dg.sfs_facts(c, None, None, None, "POP0")
 
 
-@query(" SELECT count(*) AS n_variants, 40 AS max_ac1, 40 AS max_ac2, 21 AS dim1, 21 AS dim2 FROM variant WHERE chr = 'chr1'")
+@query(" SELECT count(*) AS n_variants, 40 AS max_ac1, 40 AS max_ac2, 21 AS dim1, 21 AS dim2 FROM variant")
 def joint_sfs_facts(c):
-    return dg.joint_sfs_facts(c, "chr1", None, None, "POP0", "POP1", folded=True)
+    return dg.joint_sfs_facts(c, None, None, None, "POP0", "POP1", folded=True)
 
 
 # ---------------------------------------------------------------- genes and individuals
@@ -164,9 +164,9 @@ def _scan(i: int) -> str:
 
 
 _with = f"WITH RECURSIVE {COHORT_SQL.strip()}"
-ORACLE["convergent_sweeps_all"] = _with + f""", w AS ({' UNION ALL '.join(map(_garud, range(5)))})
+ORACLE["convergent_sweeps"] = _with + f""", w AS ({' UNION ALL '.join(map(_garud, range(5)))})
 SELECT gene, count(DISTINCT population) AS n_groups, max(h12) AS max_h12 FROM has_consequence JOIN variant USING (v) JOIN w USING (chr) WHERE pos BETWEEN start AND "end" AND h12 >= 0.03 GROUP BY 1 HAVING count(DISTINCT population) >= 2"""
-ORACLE["temporal_strata_all"] = _with + f""", w AS ({' UNION ALL '.join(map(_scan, range(5)))}),
+ORACLE["temporal_strata"] = _with + f""", w AS ({' UNION ALL '.join(map(_scan, range(5)))}),
 sh AS (SELECT population, avg(CAST(tajima_d <= 0.5 AS INT)) AS recent, avg(CAST(fay_wu_h <= -0.5 AS INT)) AS old FROM w GROUP BY 1),
 z AS (SELECT *, CASE WHEN stddev_pop(recent) OVER () > 0 THEN (recent - avg(recent) OVER ()) / stddev_pop(recent) OVER () ELSE 0 END AS zr, CASE WHEN stddev_pop(old) OVER () > 0 THEN (old - avg(old) OVER ()) / stddev_pop(old) OVER () ELSE 0 END AS zo FROM sh)
 SELECT population, {_fix('recent')} AS recent, {_fix('old')} AS old, {_fix('zr')} AS z_recent, {_fix('zo')} AS z_old, CASE WHEN zr >= zo THEN 'recent' ELSE 'old' END AS layer FROM z"""
