@@ -4,6 +4,7 @@ from statistics import mean, pstdev
 import __spark_entry__ as entry
 from varspark.operators import diversity as dv
 from varspark.operators import haplotypes as hp
+from varspark.operators import posthoc as ph
 from varspark.queries_fast import cohort, rounded
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,17 @@ def test_temporal_strata(spark):
             assert abs(out[p][name] - share[p][i]) < 2e-6 and abs(out[p][f"z_{name}"] - z) < 2e-6
     for r in out.values():
         assert r.layer == ("recent" if r.z_recent >= r.z_old else "old")
+
+
+def test_evidence_of_pathways(spark):
+    from types import SimpleNamespace
+
+    make = spark.createDataFrame
+    c = SimpleNamespace(in_pathway=make([("p1", "a"), ("p1", "b"), ("p1", "b"), ("p2", "b"), ("p3", "z")], "pathway string, gene string"), has_go_term=make([("b", "t1"), ("b", "t2"), ("a", "t9")], "gene string, go string"))
+    fst = make([("p1", 0.2), ("p3", 0.1), ("p4", 0.0)], "pathway string, fst double")
+    found = ph.pathway_evidence(c, fst, make([("a", 2), ("b", 5)], "gene string, n_groups long"), make([("t1",), ("t2",)], "term string"))
+    out = {r.pathway: r for r in ph.synthesis(found, {"fst": 0, "n_convergent_genes": 0, "n_groups": 3, "n_go_genes": 0}, "pathway").collect()}
+    assert {k: (r.fst, r.n_convergent_genes, r.n_go_genes, r.n_groups, r.n_lines, r.tier) for k, r in out.items()} == {
+        "p1": (0.2, 2, 1, 5, 4, "HIGH"), "p2": (0.0, 1, 1, 5, 3, "HIGH"), "p3": (0.1, 0, 0, 0, 1, "LOW"), "p4": (0.0, 0, 0, 0, 0, "LOW"),
+    }
+    assert out["p1"].composite > out["p2"].composite > out["p4"].composite and out["p1"].fst_scaled == 1

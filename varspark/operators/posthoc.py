@@ -182,16 +182,28 @@ def temporal_strata(windows: DataFrame, layers: dict[str, tuple[str, float]]) ->
     return share.withColumn("layer", layer)
 
 
-def synthesis(scores: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """Evidence from several scores: ranks scaled to 0..1 (ties by key), their mean, lines of evidence above the median and a tier."""
-    out, parts, lines = scores, [], F.lit(0)
-    for c in columns:
+def pathway_evidence(cohort: Cohort, fst: DataFrame, sweeps: DataFrame, terms: DataFrame) -> DataFrame:
+    """A row for each pathway with an Fst or a gene in a convergent sweep; scores it lacks are 0.
+
+    fst: pathway, fst. sweeps: gene, n_groups. terms: the enriched terms. n_convergent_genes, n_go_genes: swept genes of the
+    pathway, and those of them with an enriched term; n_groups: the most populations that share a sweep in one of its genes.
+    """
+    enriched = cohort.has_go_term.join(terms.select(F.col("term").alias("go")), "go", "left_semi").select("gene").distinct().withColumn("hit", F.lit(1))
+    swept = cohort.in_pathway.select("pathway", "gene").distinct().join(sweeps.select("gene", "n_groups"), "gene").join(enriched, "gene", "left")
+    swept = swept.groupBy("pathway").agg(F.count(F.lit(1)).alias("n_convergent_genes"), F.count("hit").alias("n_go_genes"), F.max("n_groups").alias("n_groups"))
+    return fst.select("pathway", "fst").join(swept, "pathway", "full").na.fill(0)
+
+
+def synthesis(scores: DataFrame, lines: dict[str, float], key: str) -> DataFrame:
+    """Evidence from several scores: ranks scaled to 0..1 (ties by key), their mean, lines of evidence (scores above their bound in lines) and a tier."""
+    out, parts, n_lines = scores, [], F.lit(0)
+    for c, bound in lines.items():
         rank = F.row_number().over(Window.orderBy(c, key)) - 1  # one row for each key
         out = out.withColumn(f"{c}_scaled", rank / F.greatest(F.lit(1), F.count(F.lit(1)).over(Window.partitionBy()) - 1))
         parts.append(F.col(f"{c}_scaled"))
-        lines = lines + (F.col(f"{c}_scaled") > 0.5).cast("int")
+        n_lines = n_lines + (F.col(c) > bound).cast("int")
     tier = F.when(F.col("n_lines") >= 3, "HIGH").when(F.col("n_lines") >= 2, "MEDIUM").otherwise("LOW")
-    return out.withColumn("composite", sum(parts[1:], parts[0]) / len(parts)).withColumn("n_lines", lines).withColumn("tier", tier)
+    return out.withColumn("composite", sum(parts[1:], parts[0]) / len(parts)).withColumn("n_lines", n_lines).withColumn("tier", tier)
 
 
 def sweep_extent(points: DataFrame, center: int, column: str, bin_size: int, half: float = 0.5) -> DataFrame:

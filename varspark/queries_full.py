@@ -391,11 +391,6 @@ def sweep_types(c):
     return ph.sweep_type(rounded(hp.garud_h(c, "POP0", 50_000, 25_000)), least=0.026, hard=0.6).select("chr", "start", "h12", "h2_h1", "sweep_type")
 
 
-@query(f"{_gene}, pf AS (SELECT pathway, {_fst0} AS fst, count(*) AS n_variants FROM (SELECT DISTINCT pathway, v FROM in_pathway JOIN has_consequence USING (gene)) JOIN p USING (v) GROUP BY 1 HAVING count(*) >= 5), s AS (SELECT *, (row_number() OVER (ORDER BY fst, pathway) - 1) / (count(*) OVER () - 1.0) AS a, (row_number() OVER (ORDER BY n_variants, pathway) - 1) / (count(*) OVER () - 1.0) AS b FROM pf) SELECT pathway, fst, n_variants, {_fix('a')} AS fst_scaled, {_fix('b')} AS n_variants_scaled, {_fix('(a + b) / 2')} AS composite, CAST(a > 0.5 AS INT) + CAST(b > 0.5 AS INT) AS n_lines, CASE WHEN a > 0.5 AND b > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM s")
-def synthesis(c):
-    return ph.synthesis(rounded(ph.pathway_fst(c, "POP0", "POP1")), ["fst", "n_variants"], "pathway")
-
-
 @query(f", {SCORES}, b AS (SELECT CAST(floor((pos - 200000) / 20000.0) AS BIGINT) AS bin, avg(value) AS x FROM scores WHERE stat = 'fst1' AND chr = 'chr1' GROUP BY 1), f AS (SELECT max(x) AS peak, greatest(max(x) * 0.5, avg(x) + 2 * stddev_pop(x)) AS cut FROM b) SELECT {_fix('any_value(peak)')} AS peak, {_fix('any_value(cut)')} AS cut, (max(bin) FILTER (bin < 0) + 1) * 20000 + 200000 AS start, min(bin) FILTER (bin >= 0) * 20000 + 200000 - 1 AS \"end\" FROM b, f WHERE x < cut")
 def sweep_extent(c):
     return ph.sweep_extent(scores(c).where("stat = 'fst1' AND chr = 'chr1'"), 200_000, "value", 20_000)
@@ -413,7 +408,7 @@ def coselection(c):
 # ---------------------------------------------------------------- comparisons over all populations
 
 
-def _each_population(f):
+def each_population(f):
     """Union of f(population) over POP0 to POP4."""
     one, *others = (f(f"POP{i}") for i in range(5))
     for x in others:
@@ -423,10 +418,10 @@ def _each_population(f):
 
 @query()
 def convergent_sweeps(c):
-    return ph.convergent_sweeps(c, rounded(_each_population(lambda p: hp.garud_h(c, p, 50_000, 25_000))), 0.03, 2)
+    return ph.convergent_sweeps(c, rounded(each_population(lambda p: hp.garud_h(c, p, 50_000, 25_000))), 0.03, 2)
 
 
 @query()
 def temporal_strata(c):
-    windows = _each_population(lambda p: dv.genome_scan(c, p, 50_000, 25_000).select("population", "tajima_d", "fay_wu_h"))
+    windows = each_population(lambda p: dv.genome_scan(c, p, 50_000, 25_000).select("population", "tajima_d", "fay_wu_h"))
     return ph.temporal_strata(rounded(windows), {"recent": ("tajima_d", 0.5), "old": ("fay_wu_h", -0.5)})

@@ -10,7 +10,7 @@ from .operators import posthoc as ph
 from .operators import verbs as vb
 from .plans.cohort import COHORT_SQL
 from .queries_fast import ORACLE, QUERIES, query, rounded, windowed_sql
-from .queries_full import GARUD, PEAKS, SCORES, _burden, _fix, _fst0, _gene, scan2, scores
+from .queries_full import GARUD, PEAKS, SCORES, _burden, _fix, _fst0, _gene, each_population, scan2, scores
 from .sources import annotations, sinks
 from .sources.variants import vcf_cohort
 
@@ -170,3 +170,24 @@ ORACLE["temporal_strata"] = _with + f""", w AS ({' UNION ALL '.join(map(_scan, r
 sh AS (SELECT population, avg(CAST(tajima_d <= 0.5 AS INT)) AS recent, avg(CAST(fay_wu_h <= -0.5 AS INT)) AS old FROM w GROUP BY 1),
 z AS (SELECT *, CASE WHEN stddev_pop(recent) OVER () > 0 THEN (recent - avg(recent) OVER ()) / stddev_pop(recent) OVER () ELSE 0 END AS zr, CASE WHEN stddev_pop(old) OVER () > 0 THEN (old - avg(old) OVER ()) / stddev_pop(old) OVER () ELSE 0 END AS zo FROM sh)
 SELECT population, {_fix('recent')} AS recent, {_fix('old')} AS old, {_fix('zr')} AS z_recent, {_fix('zo')} AS z_old, CASE WHEN zr >= zo THEN 'recent' ELSE 'old' END AS layer FROM z"""
+
+# ---------------------------------------------------------------- evidence of several analyses
+
+LINES = {"fst": 0, "n_convergent_genes": 0, "n_groups": 3, "n_go_genes": 0}
+
+
+@query()
+def synthesis(c):
+    sweeps = ph.convergent_sweeps(c, rounded(each_population(lambda p: hp.garud_h(c, p, 50_000, 25_000))), 0.03, 2)
+    hits = ph.gene_fst(c, "POP0", "POP1").where("fst > 0.003")
+    terms = rounded(ph.enrichment(c.has_go_term.withColumnRenamed("go", "term"), hits, c.gene)).where("p <= 0.5")
+    return ph.synthesis(ph.pathway_evidence(c, rounded(ph.pathway_fst(c, "POP0", "POP1")), sweeps, terms), LINES, "pathway")
+
+
+_scaled = ", ".join(f"(row_number() OVER (ORDER BY {x}, pathway) - 1) / greatest(1, count(*) OVER () - 1.0) AS {x}_s" for x in LINES)
+_lines = " + ".join(f"CAST({x} > {bound} AS INT)" for x, bound in LINES.items())
+ORACLE["synthesis"] = _with + f""", sw AS (SELECT gene, n_groups FROM ({ORACLE['convergent_sweeps']})), go_genes AS (SELECT DISTINCT gene FROM has_go_term WHERE go IN (SELECT term FROM ({ORACLE['go_enrichment']}) WHERE p <= 0.5)),
+cv AS (SELECT pathway, count(*) AS n_convergent_genes, count(g.gene) AS n_go_genes, max(n_groups) AS n_groups FROM (SELECT DISTINCT gene, pathway FROM in_pathway) JOIN sw USING (gene) LEFT JOIN go_genes g USING (gene) GROUP BY 1),
+ev AS (SELECT pathway, coalesce(fst, 0) AS fst, coalesce(n_convergent_genes, 0) AS n_convergent_genes, coalesce(n_go_genes, 0) AS n_go_genes, coalesce(n_groups, 0) AS n_groups FROM ({ORACLE['pathway_fst']}) FULL JOIN cv USING (pathway)),
+sc AS (SELECT *, {_scaled}, {_lines} AS n_lines FROM ev)
+SELECT pathway, fst, n_convergent_genes, n_go_genes, n_groups, {', '.join(f'{_fix(f"{x}_s")} AS {x}_scaled' for x in LINES)}, {_fix('(' + ' + '.join(f'{x}_s' for x in LINES) + ') / 4')} AS composite, n_lines, CASE WHEN n_lines >= 3 THEN 'HIGH' WHEN n_lines >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM sc"""
