@@ -55,3 +55,21 @@ def test_evidence_of_pathways(spark):
         "p1": (0.2, 2, 1, 5, 4, "HIGH"), "p2": (0.0, 1, 1, 5, 3, "HIGH"), "p3": (0.1, 0, 0, 0, 1, "LOW"), "p4": (0.0, 0, 0, 0, 0, "LOW"),
     }
     assert out["p1"].composite > out["p2"].composite > out["p4"].composite and out["p1"].fst_scaled == 1
+
+
+def test_equal_means_lie_on_the_same_side_of_a_cut(spark):
+    from types import SimpleNamespace
+
+    make = spark.createDataFrame
+    # the means 0.15 of (0.15) and (0.1, 0.2) are equal, but not if added as doubles: (0.1 + 0.2) / 2 > 0.15
+    lies = {1: ["a"], 2: ["c"], 3: ["a", "b"], 4: ["d"], 5: ["e"]}
+    c = SimpleNamespace(
+        has_consequence=make([(v, f"g{v}", "missense_variant", "HIGH") for v in lies], "v long, gene string, consequence string, impact string"),
+        in_pathway=make([(f"g{v}", p) for v, x in lies.items() for p in x], "gene string, pathway string"),
+        variant_pop=make([(v, 1, 100) for v in lies], "v long, ac int, an int"),
+        genotype=make([(v, v, 1, 0) for v in lies], "v long, sample int, gt int, phase int"),
+        sample=make([(v, "POP0") for v in lies], "sample int, pop string"),
+    )
+    fst = make([("a", 0.1), ("b", 0.2), ("c", 0.15), ("d", 0.5), ("e", 0.6)], "pathway string, fst double")
+    out = {r.sample: (r.constrained, r.divergent) for r in ph.pathway_burden(c, fst).collect()}
+    assert out == {1: (1, 0), 2: (1, 0), 3: (1, 0), 4: (0, 1), 5: (0, 1)}

@@ -319,11 +319,12 @@ def velocity(features: DataFrame, key: str, weights: dict[str, float]) -> DataFr
 def pathway_burden(cohort: Cohort, pathway_values: DataFrame, max_af: float = 0.1, impacts: tuple[str, ...] = ("HIGH", "MODERATE")) -> DataFrame:
     """sample, pop, constrained, divergent: carried rare missense alleles' sites, by the mean value (pathway, fst) of the pathways that a variant lies in.
 
-    Sites at or below the lower quartile of these means are constrained, at or above the upper quartile divergent.
+    Sites at or below the lower quartile of these means are constrained, at or above the upper quartile divergent. Values count
+    to 15 decimals, and are added as decimals: equal means stay equal in whatever order they are added, so none misses a cut that it lies on.
     """
     edges = cohort.has_consequence.where(F.col("impact").isin(list(impacts)))
     lies = edges.select("v", "gene").distinct().join(cohort.in_pathway, "gene").select("v", "pathway").distinct().join(pathway_values.select("pathway", "fst"), "pathway")
-    mean = lies.groupBy("v").agg(F.avg("fst").alias("x"))
+    mean = lies.groupBy("v").agg(F.avg(F.col("fst").cast("decimal(30,15)")).cast("double").alias("x"))
     cuts = mean.agg(F.expr("percentile(x, 0.25)").alias("low"), F.expr("percentile(x, 0.75)").alias("high"))  # one row
     missense = cohort.has_consequence.where(F.col("consequence") == "missense_variant").select("v").distinct()
     af = cohort.variant_pop.groupBy("v").agg((F.sum("ac") / F.sum("an")).alias("af")).where(F.col("af") < max_af).select("v")
